@@ -94,12 +94,12 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_entities, p4_f
 def oracle_sql() -> dict[str, str]:
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    spaces = " " + "".join(chr(c) for c in range(0x2000, 0x200B)) + "    　"
+    spaces = "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
     looks = lookalike.LOOKALIKES
     form = (
         "nfc_normalize(translate(nfc_normalize(regexp_replace(translate(text, "
         + f"'{(wide + spaces).replace(chr(39), chr(39) * 2)}', '{(plain + ' ' * len(spaces)).replace(chr(39), chr(39) * 2)}'), "
-        + "'[­​-‏⁠-⁤﻿]', '', 'g')), "
+        + r"'[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')), "
         + f"'{''.join(looks)}', '{''.join(looks.values())}'))"
     )
     key = """md5(concat_ws(chr(31), coalesce('=' || book_id, '-'), coalesce('=' || source_raw, '-'), coalesce('=' || txn_at, '-'), coalesce('=' || amount_paise, '-'), coalesce('=' || direction, '-'),
