@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans import core_queries
+from ledgerloom.plans import core_queries, ledger_queries
 
-MODULES = (core_queries,)
+MODULES = (core_queries, ledger_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return core_queries.p1_summary(spark, d)
+    return ledger_queries.insight_engine(spark, d)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.money import AMOUNT, plain_amount
 
 #: Stands for a comma inside quotes while a line is cut; a Unicode noncharacter.
-_COMMA = "￿"
+_COMMA = "\uffff"
 
 FIELDS = ("date_text", "narration", "ref_text", "withdrawal_text", "deposit_text", "balance_text")
 
