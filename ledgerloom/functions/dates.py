@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,10 +49,14 @@ def first_format(cells: Column) -> Column:
     full = F.filter(cells, lambda c: F.coalesce(c, F.lit("")) != "")
     out = F.when(F.size(full) == 0, F.lit(None).cast("string"))
     for fmt in FORMATS:
-        out = out.when(F.forall(full, lambda c, fmt=fmt: statement_day(c, fmt).isNotNull()), fmt)
+        out = out.when(F.forall(full, _reads(fmt)), fmt)
     return out
 
 
+def _reads(fmt: str) -> Callable[[Column], Column]:
+    return lambda c: statement_day(c, fmt).isNotNull()
+
+
 def alert_day(text: Column) -> Column:
     """The first readable date of an alert: ISO, then numeric, then with a named month."""
     low = F.lower(text)

@@ -6,7 +6,7 @@ reference_col, debit_col, credit_col, amount_col, side_col, balance_col, unsigne
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,6 +160,11 @@ def infer_columns(table: DataFrame) -> DataFrame:
     return maps.join(proven, ["doc_id", "mapping_ix"], "left_semi")
 
 
+def _free_label(pattern: str) -> Callable[[Column, Column], Column]:
+    """The place of a header cell that fits a pattern and has no role yet."""
+    return lambda c, i: F.when(c.rlike(f"(?i){pattern}") & ~F.array_contains("_used", i), i)
+
+
 def apply_specs(table: DataFrame, specs: Sequence[dict]) -> DataFrame:
     """doc_id, spec_id and the mapping of the first layout (by id) whose head and formats fit a table.
 
@@ -182,7 +187,7 @@ def apply_specs(table: DataFrame, specs: Sequence[dict]) -> DataFrame:
         roles = [*required, *sorted(r for r in spec["header"] if r not in required)]
         heads = rows.withColumn("_used", F.array().cast("array<int>"))
         for r in roles:
-            hits = F.filter(F.transform("cells", lambda c, i, r=r: F.when(c.rlike(f"(?i){spec['header'][r]}") & ~F.array_contains("_used", i), i)), lambda i: i.isNotNull())
+            hits = F.filter(F.transform("cells", _free_label(spec["header"][r])), lambda i: i.isNotNull())
             heads = heads.withColumn(f"_{r}", F.get(hits, F.lit(0))).withColumn("_used", F.when(F.col(f"_{r}").isNotNull(), F.array_append("_used", F.col(f"_{r}"))).otherwise(F.col("_used")))
             if r in required:
                 heads = heads.where(F.col(f"_{r}").isNotNull())

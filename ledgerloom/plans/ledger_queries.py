@@ -356,14 +356,15 @@ def capture_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _memo_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = derive.ledger(spark, d)
-    named = t.where(F.coalesce("counterparty", F.lit("")) != "")
-    memos = named.where("source_raw in ('gpay', 'alert')").select("book_id", F.col("uuid").alias("id"), "amount_paise", "direction", F.col("txn_at").alias("ts"), F.lit(None).cast("string").alias("vpa"), F.col("counterparty").alias("payee"))
-    rows = t.where("source_raw in ('hdfc', 'idfc')").select("book_id", F.col("uuid").alias("id"), "amount_paise", "direction", F.col("txn_at").alias("ts"), "narration")
+    """Statement rows, and a quarter of them as memos that came up to four days before."""
+    t = derive.ledger(spark, d).where("source_raw in ('hdfc', 'idfc')")
+    early = F.col("txn_at") - F.make_dt_interval(F.pmod(F.col("amount_paise"), F.lit(5)).cast("int"))
+    memos = t.where((F.coalesce("counterparty", F.lit("")) != "") & (ident.hash_split(F.col("uuid"), 4) == 0)).select("book_id", F.col("uuid").alias("id"), "amount_paise", "direction", early.alias("ts"), F.lit(None).cast("string").alias("vpa"), F.col("counterparty").alias("payee"))
+    rows = t.select("book_id", F.col("uuid").alias("id"), "amount_paise", "direction", F.col("txn_at").alias("ts"), "narration")
     return memos, rows
 
 
-@query(f"""WITH {L}, memos AS (SELECT *, regexp_extract(lower(counterparty), '\\p{{L}}+') AS first FROM ledger WHERE source_raw IN ('gpay', 'alert') AND coalesce(counterparty, '') <> ''), rows AS (SELECT *, regexp_extract_all(lower(coalesce(narration, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS t FROM ledger WHERE source_raw IN ('hdfc', 'idfc'))
+@query(f"""WITH {L}, memos AS (SELECT * REPLACE (txn_at - to_days(CAST(amount_paise % 5 AS INTEGER)) + INTERVAL 330 MINUTE AS ist), regexp_extract(lower(counterparty), '\\p{{L}}+') AS first FROM ledger WHERE source_raw IN ('hdfc', 'idfc') AND coalesce(counterparty, '') <> '' AND CAST(('0x' || sha1(uuid)[-2:]) AS INTEGER) % 4 = 0), rows AS (SELECT *, regexp_extract_all(lower(coalesce(narration, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS t FROM ledger WHERE source_raw IN ('hdfc', 'idfc'))
 SELECT m.uuid AS memo_id, r.uuid AS row_id, CAST(abs(datediff('day', CAST(m.ist AS DATE), CAST(r.ist AS DATE))) AS INTEGER) AS gap FROM memos m JOIN rows r ON m.book_id = r.book_id AND m.amount_paise = r.amount_paise AND m.direction = r.direction WHERE abs(datediff('day', CAST(m.ist AS DATE), CAST(r.ist AS DATE))) <= 3 AND first <> '' AND list_contains(r.t, first)""")
 def capture_memo_candidates(spark: SparkSession, d: str) -> DataFrame:
     return match.memo_candidates(*_memo_rows(spark, d)).select("memo_id", "row_id", "gap")
@@ -466,12 +467,22 @@ def verify_header(spark: SparkSession, d: str) -> DataFrame:
     return verify.header_index(derive.statement_tables(spark, d))
 
 
-@query()
+_BODY = """b AS (SELECT file_id, unnest(body_rows) AS r, generate_subscripts(body_rows, 1) AS row_ix FROM statement_files)"""
+_FORMAT_SQL = (("dd/MM/yyyy", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "%d/%m/%Y"), ("dd/MM/yy", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}", "%d/%m/%y"), ("dd-MM-yyyy", "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}", "%d-%m-%Y"), ("dd MMM yyyy", "[0-9]{1,2} +[A-Za-z]{3} +[0-9]{4}", "%d %b %Y"), ("dd-MMM-yyyy", "[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}", "%d-%b-%Y"), ("dd-MMM-yy", "[0-9]{1,2}-[A-Za-z]{3}-[0-9]{2}", "%d-%b-%y"), ("yyyy-MM-dd", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "%Y-%m-%d"))
+_VOTES = ", ".join(f"coalesce(bool_and(regexp_full_match(trim(c), '{p}') AND try_strptime(trim(c), '{f}') IS NOT NULL), false) AS f{i}" for i, (_, p, f) in enumerate(_FORMAT_SQL))
+
+
+@query(f"""WITH {_BODY}, k AS (SELECT * FROM b WHERE len(list_filter(r, lambda c: c <> '')) >= 3), e AS (SELECT file_id, unnest(r) AS c, generate_subscripts(r, 1) - 1 AS col FROM k), v AS (SELECT file_id, col, {_VOTES} FROM e WHERE c <> '' GROUP BY 1, 2)
+SELECT file_id AS doc_id, CAST(col AS INTEGER) AS col, CASE {' '.join(f"WHEN f{i} THEN '{n}'" for i, (n, _, _) in enumerate(_FORMAT_SQL))} END AS date_format FROM v""")
 def verify_date_format(spark: SparkSession, d: str) -> DataFrame:
     return verify.date_format_vote(verify.body_rows(derive.statement_tables(spark, d)))
 
 
-@query()
+@query(f"""WITH {_BODY}, h AS (SELECT file_id, len(list_filter(header_row, lambda c: regexp_matches(c, '(?i)date|narration|particular|description|remarks|debit|credit|withdraw|deposit|amount|balance|ref|cheque'))) >= 2 AS head, header_row, body_rows FROM statement_files),
+  e AS (SELECT file_id, row_ix, unnest(r) AS c, generate_subscripts(r, 1) AS col FROM b), m AS (SELECT file_id, col, regexp_replace(regexp_replace(c, '[a-zA-Z]', 'A', 'g'), '[0-9]', 'N', 'g') AS mask, count(*) AS n, min(row_ix) AS seen FROM e WHERE c <> '' GROUP BY 1, 2, 3),
+  t AS (SELECT file_id, col, mask FROM (SELECT *, row_number() OVER (PARTITION BY file_id, col ORDER BY n DESC, seen) AS rn FROM m) WHERE rn = 1), w AS (SELECT file_id, greatest(CASE WHEN head THEN len(header_row) ELSE 0 END, coalesce(list_max(list_transform(body_rows, lambda r: len(r))), 0)) AS width FROM h)
+SELECT h.file_id AS doc_id, CASE WHEN head THEN array_to_string(header_row, '|') ELSE '' END AS header_row, CAST(width AS INTEGER) AS column_count, CAST(len(body_rows) AS BIGINT) AS row_count,
+  (SELECT string_agg(coalesce(mask, ''), '|' ORDER BY g.col) FROM (SELECT unnest(range(1, width + 1)) AS col) g LEFT JOIN t ON t.file_id = h.file_id AND t.col = g.col) AS cell_shapes, CAST(NULL AS VARCHAR) AS bank_name FROM h JOIN w USING (file_id) WHERE len(body_rows) + len(header_row) > 0""")
 def verify_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     f = verify.fingerprint(derive.statement_tables(spark, d))
     return f.withColumns({"header_row": F.array_join("header_row", "|"), "cell_shapes": F.array_join("cell_shapes", "|")})
