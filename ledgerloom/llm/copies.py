@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import scratch
+from ledgerloom.session import scratch, stored
 
 EXACT = ("book_id", "source_raw", "txn_at", "amount_paise", "direction")
 SQUEEZED = ("counterparty", "reference")
@@ -53,27 +53,42 @@ def aggregate_batch(rows: DataFrame, row_id: str = "uuid", order: str = "txn_at"
 
 
 class CopyLedger:
-    """Canonical-key counts in a bucketed table below ``path``; each merge writes a new version of the touched buckets."""
+    """Canonical-key counts in a bucketed table below ``path``.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets, self.version = spark, path or scratch(spark, "copy-ledger"), buckets, 0
+    A merge reads and rewrites only the buckets its batch touches, as a new version beside the old files, and then writes
+    a manifest (bucket, version). A lost executor or a failed job so changes nothing. ``version`` opens an older state.
+    """
+
+    SCHEMA = "canonical_key string, copies bigint, first_at timestamp_ntz, first_id string, version int, bucket int"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS, version: int = 0):
+        self.spark, self.path, self.buckets, self.version = spark, path or scratch(spark, "copy-ledger"), buckets, version
+        rows = spark.read.schema("bucket int, version int").parquet(f"{self.path}/manifest/{version}").collect() if version else []
+        self.where = {r["bucket"]: r["version"] for r in rows}
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("canonical_key"), F.lit(self.buckets)).cast("int")
 
-    def read(self) -> DataFrame | None:
-        if not self.version:
-            return None
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The current rows of some buckets, of all by default."""
+        paths = [f"{self.path}/version={v}/bucket={b}" for b, v in sorted(self.where.items()) if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(*paths)
 
     def merge(self, rows: DataFrame, **names) -> CopyLedger:
-        """Fold one batch in. The old version stays readable, so a lost executor or a failed job changes nothing."""
-        batch = aggregate_batch(rows, **names).withColumn("bucket", self._bucket())
-        old = self.read()
-        merged = batch if old is None else self.fold(old, batch)
-        # one file group for each bucket: the next merge prunes to what it touches
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        """Fold one batch in."""
+        batch = stored(aggregate_batch(rows, **names).withColumn("bucket", self._bucket()), "copy-batch")
+        touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+        if not touched:
+            return self
+        known = [b for b in touched if b in self.where]
+        merged = self.fold(self.read(known), batch) if known else batch
+        version = self.version + 1
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        self.where |= dict.fromkeys(touched, version)
+        self.spark.createDataFrame(sorted(self.where.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{version}")
+        self.version = version
         return self
 
     @staticmethod
@@ -92,7 +107,7 @@ def collapse(batches: Sequence[DataFrame], spark: SparkSession) -> DataFrame:
     ledger = CopyLedger(spark)
     for rows in batches:
         ledger.merge(rows)
-    return ledger.read().drop("bucket")
+    return ledger.read().drop("bucket", "version")
 
 
 def copy_pairs(rows: DataFrame, ledger: DataFrame, row_id: str = "uuid") -> DataFrame:
