@@ -82,7 +82,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         start, at, seen = m.start(), m.end(), set()
         stop = re.compile(r"[;\n\[\]:?!@₹*]|\.(?=\s|$)").search(text, at)
         limit = min(stop.start() if stop else len(text), at + 160)
-        if not text[m.start()].isalpha() and not re.match(r",? (?:[A-Z]|\d+(?:st|nd|rd|th) )", text[at : at + 8]):
+        if not text[m.start()].isalpha() and not re.match(r",? (?:[A-Z]|\d+(?:st|nd|rd|th|ST|ND|RD|TH) )", text[at : at + 8]):
             continue
         parts = 0
         while at < limit and parts < 7:
