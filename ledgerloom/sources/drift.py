@@ -100,26 +100,61 @@ def columns_of(files: DataFrame) -> DataFrame:
     return keyed.withColumn("columns", cols).drop("_labels", "_names")
 
 
+MONEY = tuple(f for f, kind in TARGET.items() if kind == "paise")
+
+
+def money_units(columns: Column, body: Column) -> tuple[Column, Column]:
+    """A sheet of the file's sums (to be kept as ``_sheet``), and over it a struct of debit, credit and balance: whether the column's whole numbers are paise.
+
+    Files drift between rupees with a fraction and whole paise, column by column. Of the readings that a file's
+    whole-number columns allow, the one under which most running balances close is taken, and of equals the one
+    with most columns in paise (an export of whole rupees only, with nothing to tell it by, must be converted before).
+    """
+    place = lambda f: F.get(F.filter(columns, lambda c: c["field"] == f), F.lit(0))
+    def read(f: str) -> Column:
+        return F.transform(body, lambda r: paise(F.coalesce(F.get(r, place(f)["pos"]), F.lit(""))))
+
+    sheet = F.arrays_zip(*(read(f).alias(f) for f in MONEY))
+    scaled = lambda row, f, u: F.coalesce(row[f], F.lit(0)) * F.when(u, 1).otherwise(100)
+
+    def closed(rows: Column, u: dict[str, bool]) -> Column:
+        step = lambda i: F.get(rows, i)
+        fits = lambda i: (scaled(step(i), "balance", F.lit(u["balance"])) - scaled(step(i - 1), "balance", F.lit(u["balance"]))) == (scaled(step(i), "credit", F.lit(u["credit"])) - scaled(step(i), "debit", F.lit(u["debit"])))
+        return F.when(F.size(rows) > 1, F.size(F.filter(F.sequence(F.lit(1), F.size(rows) - 1), fits))).otherwise(0)
+
+    best = []
+    for bits in range(8):
+        u = {f: bool(bits >> k & 1) for k, f in enumerate(MONEY)}
+        allowed = F.lit(True)
+        for f in MONEY:
+            if u[f]:
+                allowed = allowed & (place(f)["kind"] == "integer")
+        best.append(F.when(F.coalesce(allowed, F.lit(False)), F.struct(closed(F.col("_sheet"), u).alias("n"), F.lit(sum(u.values())).alias("k"), *(F.lit(u[f]).alias(f) for f in MONEY))))
+    return sheet, F.array_max(F.array(*best))
+
+
 def ingest(files: DataFrame) -> DataFrame:
     """One row for each body row: the target schema, and a rescue column (JSON, null if empty).
 
     The rescue column holds each non-empty cell that has no target column or does not cast, under its
     field, or its label where it has no field.
     """
-    rows = columns_of(files).select("file_id", "account_id", "book_id", "received_at", "columns", F.posexplode(F.coalesce("body_rows", F.array().cast("array<array<string>>"))).alias("row_ix", "cells"))
+    body = F.coalesce("body_rows", F.array().cast("array<array<string>>"))
+    sheet, units = money_units(F.col("columns"), body)
+    known = columns_of(files).withColumn("_sheet", sheet).withColumn("_units", units).drop("_sheet")
+    rows = known.select("file_id", "account_id", "book_id", "received_at", "columns", "_units", F.posexplode(F.coalesce("body_rows", F.array().cast("array<array<string>>"))).alias("row_ix", "cells"))
     name = lambda i: F.coalesce(F.get("columns", i)["field"], F.concat(F.lit("?column "), (i + 1).cast("string")))
     entries = F.transform("cells", lambda c, i: F.struct(name(i), F.btrim(F.coalesce(c, F.lit("")))))
     rows = rows.withColumn("_m", F.map_filter(F.map_from_entries(entries), lambda k, v: v != ""))
     cast = {"date": any_date, "paise": paise, "string": lambda c: c}
     typed = {field: cast[kind](F.col("_m")[field]) for field, kind in TARGET.items()}
+    typed |= {f: F.when(F.col(f"_units.{f}"), (typed[f] / 100).cast("bigint")).otherwise(typed[f]) for f in MONEY}
     out = rows.withColumns({f"{f}_paise" if TARGET[f] == "paise" else f: c for f, c in typed.items()})
-    took = F.lit(False)
     placed = {f: (F.col(f"{f}_paise") if TARGET[f] == "paise" else F.col(f)).isNotNull() for f in TARGET}
     out = out.withColumn("_took", F.array_compact(F.array(*(F.when(ok, F.lit(f)) for f, ok in placed.items()))))
-    del took
     left = F.map_filter("_m", lambda k, v: ~F.array_contains("_took", k))
     bare = F.transform_keys(left, lambda k, v: F.regexp_replace(k, r"^\?", ""))
-    return out.withColumn("rescued", F.when(F.size(left) > 0, F.to_json(bare))).drop("_m", "_took", "cells", "columns")
+    return out.withColumn("rescued", F.when(F.size(left) > 0, F.to_json(bare))).drop("_m", "_took", "_units", "cells", "columns")
 
 
 def promote(ledger: DataFrame, approved: tuple[str, ...] = PROMOTED) -> DataFrame:
@@ -139,7 +174,6 @@ def drift_report(files: DataFrame) -> DataFrame:
     heads = columns_of(files).where(F.size("columns") > 0).select("file_id", "account_id", "received_at", "columns")
     heads = heads.withColumn("_block", F.date_trunc("month", "received_at"))
     order = ["received_at", "file_id"]
-    own = F.map_from_entries(F.transform("columns", lambda c: F.struct(c["field"], c["kind"])))
 
     # Kinds that hold before a file: the last kind seen of each field, inside the block and before it.
     inside = Window.partitionBy("account_id", "_block").orderBy(*order)
@@ -149,7 +183,6 @@ def drift_report(files: DataFrame) -> DataFrame:
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     first = tail.select(F.col("account_id").alias("_a"), F.col("_block").alias("_b"), "_before")
     steps = steps.join(first, same("account_id", "_a") & same("_block", "_b"), "left").withColumn("_prev", F.coalesce("_prev", "_before")).drop("_before", "_a", "_b")
-    del own
 
     # An all-empty column keeps its former kind.
     kinds = heads.select("account_id", "_block", *order, F.explode("columns").alias("c")).select("account_id", "_block", *order, F.col("c.field").alias("field"), F.col("c.kind").alias("kind"))

@@ -99,3 +99,17 @@ def test_no_cell_is_lost(spark):
     led = drift.ingest(f)
     kept = led.selectExpr("sum(int(txn_date is not null) + int(value_date is not null) + int(narration is not null) + int(reference is not null) + int(debit_paise is not null) + int(credit_paise is not null) + int(balance_paise is not null) + coalesce(size(map_keys(from_json(rescued, 'map<string,string>'))), 0)) n").first()["n"]
     assert kept == n
+
+
+def test_whole_paise_and_rupees_come_out_alike(spark):
+    t = datetime(2025, 1, 1)
+    head = ["Date", "Debit", "Credit", "Balance"]
+    rows = [
+        (1, 1, 1, t, head, 4, [["2025-01-01", "10.50", "", "89.50"], ["2025-01-02", "", "5.00", "94.50"]]), (2, 1, 1, t, head, 4, [["2025-01-01", "1050", "", "8950"], ["2025-01-02", "", "500", "9450"]]),
+        (3, 1, 1, t, head, 4, [["2025-01-01", "10.50", "", "8950"], ["2025-01-02", "", "5.00", "9450"]]), (4, 1, 1, t, head, 4, [["2025-01-01", "10", "", "89.50"], ["2025-01-02", "", "5", "94.50"], ["2025-01-03", "4", "", "90.50"]]),
+    ]
+    got = {(r.file_id, r.row_ix): (r.debit_paise, r.credit_paise, r.balance_paise) for r in drift.ingest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for f in (1, 2, 3):
+        assert (got[f, 0], got[f, 1]) == ((1050, None, 8950), (None, 500, 9450))
+    # whole rupees whose balance closes as rupees only
+    assert (got[4, 0], got[4, 1]) == ((1000, None, 8950), (None, 500, 9450))
