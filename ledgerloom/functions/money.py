@@ -43,3 +43,26 @@ def inr(paise: Column) -> Column:
 def div(a: Column, b: Column) -> Column:
     """Integer division that truncates toward zero; null on zero."""
     return F.call_function("div", a.cast("bigint"), F.nullif(b.cast("bigint"), F.lit(0).cast("bigint")))
+
+
+def cell_paise(raw: Column) -> Column:
+    """Paise of a raw spreadsheet number; beyond two decimals the third one rounds half up."""
+    t = F.btrim(raw)
+    part = lambda i: F.regexp_extract(t, r"^(-?)(\d+)(?:\.(\d*))?$", i)
+    digits = F.rpad(part(3), 3, "0")
+    size = part(2).try_cast("bigint") * 100 + F.substring(digits, 1, 2).try_cast("int") + F.when(F.substring(digits, 3, 1) >= "5", 1).otherwise(0)
+    return F.when(t.rlike(r"^-?\d+(\.\d*)?$"), F.when(part(1) == "-", -size).otherwise(size))
+
+
+def whole_rupees(paise: Column) -> Column:
+    """A rupee sum rounded half up to whole rupees, grouped, without decimals."""
+    size = div(F.abs(paise) + 50, F.lit(100))
+    return F.concat(F.when(paise < 0, F.lit("-")).otherwise(F.lit("")), F.lit("₹"), group_indian(size))
+
+
+def permille(value: Column, total: Column, weight: int = 1) -> Column:
+    return div(value * 1000, F.greatest(total, F.lit(1))) * weight
+
+
+def pct_change(now: Column, before: Column) -> Column:
+    return div((now - before) * 100, before)

@@ -139,3 +139,33 @@ def search(rows: DataFrame, query: str, k: int = 8, by: Sequence[str] = ("book_i
 def expired(rows: DataFrame, now: Column, captured: str = "captured_at", days: int = 45) -> DataFrame:
     """Rows older than ``days`` elapsed whole days."""
     return rows.where(F.floor(cal.seconds_between(F.col(captured), now) / 86400) > days)
+
+
+def prune(stored: DataFrame, live: DataFrame, key: str = "id") -> DataFrame:
+    """Stored ids that still exist."""
+    return stored.join(live.select(key).distinct(), key, "left_semi")
+
+
+def first_of_section(rows: DataFrame, section: Sequence[str], order: Sequence[str], n: int = 30) -> DataFrame:
+    """The first n rows of each section, each with the number of rows left out."""
+    w = Window.partitionBy(*section)
+    return rows.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - n, F.lit(0))).where(F.col("_n") <= n).drop("_n")
+
+
+def by_reference(wanted: DataFrame, rows: DataFrame, by: Sequence[str] = ("book_id",)) -> DataFrame:
+    """For each wanted reference and direction the first row that has it."""
+    key = [*by, "reference", "direction"]
+    first = rows.where(F.coalesce("reference", F.lit("")) != "").groupBy(*key).agg(F.min_by("uuid", F.struct("txn_at", "uuid")).alias("uuid"))
+    return wanted.join(first, key, "left")
+
+
+def evidence_rows(cards: DataFrame, rows: DataFrame, card_id: str = "id") -> DataFrame:
+    """Each card with the rows its evidence names."""
+    return cards.select(F.col(card_id).alias("card_id"), F.posexplode("evidence").alias("place", "uuid")).join(rows, "uuid")
+
+
+def ingest_report(new: DataFrame, stored: DataFrame, waiting: DataFrame, key: str = "capture_hash") -> DataFrame:
+    """outcome, n: new rows that were added, that wait as memos, or that were known."""
+    known, open_ = stored.select(key).distinct().withColumn("_k", F.lit(True)), waiting.select(key).distinct().withColumn("_w", F.lit(True))
+    out = new.join(known, key, "left").join(open_, key, "left")
+    return out.groupBy(F.when(F.col("_k"), "known").when(F.col("_w"), "waiting").otherwise("added").alias("outcome")).agg(F.count("*").alias("n"))

@@ -215,7 +215,7 @@ def bio_decode(rows: DataFrame, tags: Sequence[str], classes: Sequence[str]) ->
                 for label, s, e, q in spans_of(places, _soft(np.array([list(r) for r in logits], float)), tags):
                     if clean_edges(text, s, e) and (label not in best or q > best[label][0]):
                         best[label] = (q, text[s:e])
-                out.append((i, classes[int(p.argmax())], round(float(p.max()), 4), [(k, v) for k, (_, v) in sorted(best.items())]))
+                out.append((i, classes[int(p.argmax())], round(float(p.max()), 4), {k: v for k, (_, v) in sorted(best.items())}))
             yield pd.DataFrame(out, columns=["id", "cls", "confidence", "spans"])
 
     kind = dict(rows.dtypes)["id"]
@@ -236,3 +236,100 @@ def grounded(text: str, said: Sequence[tuple[str, set[int]]]) -> bool:
     named = [s for s, _ in said if s and s.lower() in low]
     about = [(s, n) for s, n in said if (s in named if s else not named or re.search(r"\b(total|overall|all spending)\b", low))]
     return all(any(f in n for _, n in about) for f in figures) and all(any(s == k and n & figures for s, n in said) for k in named if figures)
+
+
+def to_records(annotated: DataFrame) -> DataFrame:
+    """id, text, spans, problem of annotated texts (text, kind, labels: array of label, value, nth).
+
+    A value is the n-th occurrence of a substring. problem tells a value that is not there, has blank edges or cuts a longer word or
+    number, and spans on a text that is no payment.
+    """
+    out = "struct<spans: array<struct<start: int, end: int, label: string>>, problem: string>"
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = []
+        for text, kind, labels in pdf.itertuples(index=False, name=None):
+            spans, problem = [], None if kind in ("debit", "credit", "none") else "kind"
+            for item in labels if labels is not None else []:
+                label, value, nth = item["label"], item["value"], item["nth"]
+                nth = 1 if nth is None or nth != nth else int(nth)
+                at = -1
+                for _ in range(nth):
+                    at = text.find(value, at + 1)
+                    if at < 0:
+                        break
+                if at < 0:
+                    problem = problem or f"{label} not found"
+                elif not value or value != value.strip():
+                    problem = problem or f"{label} has blank edges"
+                elif not clean_edges(text, at, at + len(value)):
+                    problem = problem or f"{label} cuts a word or number"
+                else:
+                    spans.append({"start": at, "end": at + len(value), "label": label})
+            if kind == "none" and spans:
+                problem = problem or "spans without a payment"
+            got.append((sorted(spans, key=lambda s: s["start"]), problem))
+        return pd.DataFrame(got, columns=["spans", "problem"])
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for cols in batches:
+            yield place(pd.concat(cols, axis=1))
+
+    rec = annotated.withColumn("_r", F.pandas_udf(run, out)("text", "kind", "labels"))
+    return rec.select(F.concat(F.lit("real-"), F.substring(F.sha1(F.col("text").cast("binary")), 1, 10)).alias("id"), "text", "kind", "_r.spans", "_r.problem")
+
+
+def label_batches(batch: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages with their labels by id, and labels whose id no message has."""
+    return batch.join(labels, "id", "left"), labels.join(batch.select("id"), "id", "left_anti")
+
+
+def split_of(records: DataFrame, key: str, parts: int = 8) -> DataFrame:
+    """``records`` with split: one part in ``parts`` for test, one for val, the rest for train, by a digest of the key (whole formats stay together)."""
+    from ledgerloom.functions.ident import hash_split
+
+    n = hash_split(F.col(key), parts)
+    return records.withColumn("split", F.when(n == 0, "test").when(n == 1, "val").otherwise("train"))
+
+
+def write_splits(records: DataFrame, path: str) -> DataFrame:
+    """JSON lines in a folder for each split; returns the manifest (split, n)."""
+    records.write.mode("overwrite").partitionBy("split").json(path)
+    return records.groupBy("split").agg(F.count("*").alias("n"))
+
+
+#: Templates of generated alerts: kind, channel and text with slots.
+TEMPLATES = (
+    ("debit", "sms", "{BANK}: {AMOUNT} debited from a/c {OWN_ACCT} to {PAYEE} on {DATE}. Ref {REF}"), ("credit", "sms", "{AMOUNT} credited to a/c {OWN_ACCT} by {PAYEE} on {DATE}. UTR {REF}. Bal {BALANCE}"), ("debit", "email", "You paid {AMOUNT} to {PAYEE} ({VPA}) on {DATE}. UPI ref {REF}"),
+    ("credit", "notification", "Received {AMOUNT} from {VPA} in {OWN_ACCT}"), ("none", "sms", "{BANK}: {AMOUNT} is due on {DATE}. Pay in the app"), ("none", "sms", "{BANK} will never ask for your OTP"),
+)
+
+
+def generate_alerts(spark, n: int, seed: int = 0) -> DataFrame:
+    """id, text, kind, channel, template_id, spans of ``n`` alerts; each row is made from its own seed, so any partitioning gives the same rows."""
+    schema = "id string, text string, kind string, channel string, template_id string, spans array<struct<start: int, end: int, label: string>>"
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import random
+
+        for pdf in batches:
+            rows = []
+            for i in pdf["id"].tolist():
+                r = random.Random(seed * 1_000_003 + i)
+                k = r.randrange(len(TEMPLATES))
+                kind, channel, template = TEMPLATES[k]
+                word = lambda: "".join(r.choice("bcdfgklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+                day = f"{r.randint(1, 28):02}"
+                slots = {"BANK": lambda: word().title() + " Bank", "AMOUNT": lambda: f"{r.choice(['Rs.', 'INR ', '₹'])}{r.randint(1, 99999):,}.{r.randint(0, 99):02}", "BALANCE": lambda: f"Rs.{r.randint(1, 999999)}.00", "OWN_ACCT": lambda: f"XX{r.randint(0, 9999):04}", "PAYEE": lambda: f"{word()} {word()}".title(), "DATE": lambda: r.choice([f"{day}-{r.randint(1, 12):02}-2025", f"{day} Mar 2025", f"2025-{r.randint(1, 12):02}-{day}"]), "REF": lambda: f"{r.randrange(10**12):012}", "VPA": lambda: f"{word()}@{word()[:4]}"}
+                text, spans = "", []
+                for part in re.split(r"(\{[A-Z_]+\})", template):
+                    if part[:1] == "{":
+                        value, label = slots[part[1:-1]](), part[1:-1]
+                        if kind != "none" and label != "BANK":
+                            spans.append({"start": len(text), "end": len(text) + len(value), "label": label})
+                        part = value
+                    text += part
+                rows.append((f"syn-{seed}-{i}", text, kind, channel, f"t{k}", spans))
+            yield pd.DataFrame(rows, columns=["id", "text", "kind", "channel", "template_id", "spans"])
+
+    return spark.range(n).mapInPandas(make, schema)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +105,9 @@ def balance_chain(rows: DataFrame, key: Sequence[str] = ("doc_id",), opening: Co
     direction = F.when(F.col("_prev").isNotNull(), chained).otherwise(F.coalesce("_says", start))
     narration = _cell("narration_col")
     written = F.nullif(_cell("reference_col"), F.lit(""))
+    if "reference_patterns" in rows.columns:
+        found = F.expr("filter(transform(reference_patterns, p -> trim(regexp_extract(coalesce(get(cells, narration_col), ''), p, 1))), x -> x <> '')")
+        written = F.coalesce(written, F.get(found, F.lit(0)))
     made = synthetic_reference(F.col("balance_paise"), cal.utc(F.col("day").cast("timestamp_ntz")), F.col("amount_paise"))
     out = x.withColumns({"direction": direction, "narration": narration, "problem": problem, "reference": F.coalesce(written, made)})
     return out.select(*by, "row_ix", "day", "amount_paise", "direction", "balance_paise", "reference", "narration", "problem")
@@ -160,11 +164,6 @@ def infer_columns(table: DataFrame) -> DataFrame:
     return maps.join(proven, ["doc_id", "mapping_ix"], "left_semi")
 
 
-def _free_label(pattern: str) -> Callable[[Column, Column], Column]:
-    """The place of a header cell that fits a pattern and has no role yet."""
-    return lambda c, i: F.when(c.rlike(f"(?i){pattern}") & ~F.array_contains("_used", i), i)
-
-
 def apply_specs(table: DataFrame, specs: Sequence[dict]) -> DataFrame:
     """doc_id, spec_id and the mapping of the first layout (by id) whose head and formats fit a table.
 
@@ -185,13 +184,11 @@ def apply_specs(table: DataFrame, specs: Sequence[dict]) -> DataFrame:
                 fits = fits & F.col("whole").rlike(f"(?i){pattern}")
             rows = rows.join(whole.where(fits).select("doc_id"), "doc_id", "left_semi")
         roles = [*required, *sorted(r for r in spec["header"] if r not in required)]
-        heads = rows.withColumn("_used", F.array().cast("array<int>"))
-        for r in roles:
-            hits = F.filter(F.transform("cells", _free_label(spec["header"][r])), lambda i: i.isNotNull())
-            heads = heads.withColumn(f"_{r}", F.get(hits, F.lit(0))).withColumn("_used", F.when(F.col(f"_{r}").isNotNull(), F.array_append("_used", F.col(f"_{r}"))).otherwise(F.col("_used")))
-            if r in required:
-                heads = heads.where(F.col(f"_{r}").isNotNull())
-        col = lambda r: F.col(f"_{r}") if r in roles else F.lit(None).cast("int")
+        # one fold over the roles: each takes the first fitting cell that is free, or -1
+        wanted = F.array(*(F.lit(f"(?i){spec['header'][r]}") for r in roles))
+        heads = rows.withColumn("_at", F.aggregate(wanted, F.array().cast("array<int>"), lambda acc, p: F.array_append(acc, F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.get("cells", i).rlike(p) & ~F.array_contains(acc, i)), F.lit(0)), F.lit(-1)))))
+        heads = heads.where(F.size("cells") > 0).where(~F.array_contains(F.slice("_at", 1, len(required)), -1))
+        col = lambda r: F.nullif(F.get("_at", F.lit(roles.index(r))), F.lit(-1)) if r in roles else F.lit(None).cast("int")
         mapping = F.struct(col("date").alias("date_col"), col("narration").alias("narration_col"), col("reference").alias("reference_col"), col("debit").alias("debit_col"), col("credit").alias("credit_col"), col("amount").alias("amount_col"), col("drcr").alias("side_col"), col("balance").alias("balance_col"))
         first = heads.groupBy("doc_id").agg(F.min_by(mapping, "row_ix").alias("m"), F.min("row_ix").alias("header_ix"))
         body = spec_body(table, first.select("doc_id", "header_ix"), spec)
@@ -221,3 +218,73 @@ def resolve(table: DataFrame, specs: Sequence[dict]) -> DataFrame:
     maps = by_spec.drop("header_ix").withColumn("outcome", F.lit("spec")).unionByName(inferred.drop("mapping_ix").withColumn("outcome", F.lit("inferred")).withColumn("spec_id", F.lit(None).cast("string")))
     docs = table.select("doc_id").distinct()
     return docs.join(maps, "doc_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("refused")))
+
+
+def unsigned_readings(rows: DataFrame) -> DataFrame:
+    """doc_id, opening (debit, credit or both), for tables of unsigned amounts without an opening balance: which first direction proves.
+
+    Two proven readings that differ are ambiguous and come out with opening null.
+    """
+    both = rows.withColumn("_opening", F.explode(F.array(F.lit("debit"), F.lit("credit"))))
+    chain = balance_chain(both.withColumn("opening", F.col("_opening")), ("doc_id", "opening"))
+    reading = chain.groupBy("doc_id", "opening").agg(F.bool_and(F.col("problem").isNull()).alias("ok"), F.sum(F.xxhash64("row_ix", "amount_paise", "direction").cast("decimal(38,0)")).alias("digest"))
+    ok = reading.where("ok").groupBy("doc_id").agg(F.min("opening").alias("opening"), F.count_distinct("digest").alias("n"), F.count("*").alias("k"))
+    return ok.select("doc_id", F.when(F.col("n") > 1, None).when(F.col("k") > 1, "both").otherwise(F.col("opening")).alias("opening"))
+
+
+#: What a header label stands for, in order of precedence, and the kinds a proposer may name.
+ROLE_WORDS = (
+    ("balance", r"\bbalance\b|\bbal\b"), ("debit", r"withdraw|\bdebit|\bdr\b|paid out"), ("credit", r"deposit|\bcredit|\bcr\b|paid in"), ("date", r"\bdate\b|\bdt\b"), ("narration", "particular|narration|description|details|remark"),
+    ("reference", r"cheque|\bchq|\bref|instrument"), ("amount", r"\bamount\b|\bamt\b"),
+)
+ROLE_KINDS = ("date", "valueDate", "narration", "reference", "debit", "credit", "amount", "drcrMarker", "balance", "other")
+
+
+def label_role(label: Column) -> Column:
+    """The role of a header label; null if it has none."""
+    low = F.lower(label)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for role, words in ROLE_WORDS:
+        out = out.when(low.rlike(words), role)
+    return out
+
+
+def sample_rows(table: DataFrame, n: int = 8) -> DataFrame:
+    """doc_id, row_ix, cells: the first half of ``n`` body rows, then the first row that fills each column those leave empty."""
+    body = body_rows(table)
+    order = Window.partitionBy("doc_id").orderBy("row_ix")
+    ranked = body.withColumn("_n", F.row_number().over(order))
+    head = ranked.where(F.col("_n") <= n // 2).select("doc_id", "row_ix", "cells")
+    cells = ranked.select("doc_id", "row_ix", "_n", F.posexplode("cells").alias("col", "c")).where("c <> ''")
+    first = cells.groupBy("doc_id", "col").agg(F.min("row_ix").alias("row_ix"), F.min("_n").alias("_n")).where(F.col("_n") > n // 2)
+    pick = first.select("doc_id", "row_ix").distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n - n // 2)
+    return head.unionByName(body.join(pick, ["doc_id", "row_ix"], "left_semi").select("doc_id", "row_ix", "cells"))
+
+
+def mappings_of_kinds(kinds: DataFrame, votes: DataFrame) -> DataFrame:
+    """Mappings of proposed kinds (doc_id, kinds: array): the date or the value date, the rightmost sum as balance if none is named.
+
+    A proposal without date, narration or balance is left out. ``votes`` are the columns' date formats.
+    """
+    place = lambda kind: F.nullif(F.array_position("kinds", kind), F.lit(0)).cast("int") - 1
+    sums = F.filter(F.transform("kinds", lambda k, i: F.when(k.isin("debit", "credit", "amount"), i)), lambda i: i.isNotNull())
+    x = kinds.withColumns({"date_col": F.coalesce(place("date"), place("valueDate")), "narration_col": place("narration"), "balance_col": F.coalesce(place("balance"), F.get(F.reverse(sums), F.lit(0)))})
+    other = lambda kind: F.get(F.filter(F.transform("kinds", lambda k, i: F.when((k == kind) & (i != F.col("balance_col")), i)), lambda i: i.isNotNull()), F.lit(0))
+    x = x.withColumns({"reference_col": place("reference"), "debit_col": other("debit"), "credit_col": other("credit"), "amount_col": other("amount"), "side_col": place("drcrMarker")})
+    x = x.where("date_col is not null and narration_col is not null and balance_col is not null").join(votes.select("doc_id", F.col("col").alias("date_col"), "date_format"), ["doc_id", "date_col"])
+    return x.select("doc_id", "date_col", "narration_col", "reference_col", "debit_col", "credit_col", "amount_col", "side_col", "balance_col", F.lit(False).alias("unsigned"), "date_format", F.array().cast("array<string>").alias("reference_patterns"))
+
+
+def propose(table: DataFrame, proposer: Callable[[list[list[str]]], list[str] | None]) -> DataFrame:
+    """Mappings that a function proposes from sample rows (header first) and that the balance then proves; all others are dropped."""
+    head = table.join(header_index(table), "doc_id").where(F.col("row_ix") == F.col("header_ix")).select("doc_id", "row_ix", "cells")
+    rows = head.unionByName(sample_rows(table)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_ix", "cells"))), lambda x: x["cells"]).alias("rows"))
+
+    def ask(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: proposer([list(r) for r in v]))
+
+    kinds = rows.select("doc_id", F.pandas_udf(ask, "array<string>")("rows").alias("kinds")).where("kinds is not null")
+    body = body_rows(table)
+    maps = mappings_of_kinds(kinds, date_format_vote(body))
+    proven = chain_outcome(balance_chain(body.join(maps, "doc_id"))).where("broken_at is null").select("doc_id")
+    return maps.join(proven, "doc_id", "left_semi")
