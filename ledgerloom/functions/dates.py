@@ -32,16 +32,16 @@ def made(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.isNotNull() & month.between(1, 12) & day.between(1, 31), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
+_PARSE = {"dd/MM/yyyy": "d/M/yyyy", "dd/MM/yy": "d/M/yy", "dd-MM-yyyy": "d-M-yyyy", "dd MMM yyyy": "d MMM yyyy", "dd-MMM-yyyy": "d MMM yyyy", "dd-MMM-yy": "d MMM yy", "yyyy-MM-dd": "yyyy-M-d"}
+
+
 def statement_day(text: Column, fmt: str) -> Column:
-    """The day of a cell in one of the statement formats."""
-    shape = FORMATS[fmt]
-    part = lambda i: F.regexp_extract(text, shape, i)
-    number = lambda i: part(i).try_cast("int")
-    if fmt == "yyyy-MM-dd":
-        return F.when(text.rlike(shape), made(number(1), number(2), number(3)))
-    month = month_number(part(2)) if "MMM" in fmt else number(2)
-    year = number(3) + 2000 if not fmt.endswith("yyyy") else number(3)
-    return F.when(text.rlike(shape), made(year, month, number(1)))
+    """The day of a cell in one of the statement formats: its shape is checked, then it is parsed once."""
+    t = F.btrim(text)
+    if "MMM" in fmt:
+        # the first three letters of a month, in the case the parser wants
+        t = F.initcap(F.regexp_replace(t, r"[-\s]*([A-Za-z]{3})[A-Za-z]*[-\s]*", " $1 "))
+    return F.when(text.rlike(FORMATS[fmt]), F.try_to_timestamp(t, F.lit(_PARSE[fmt])).cast("date"))
 
 
 def first_format(cells: Column) -> Column:

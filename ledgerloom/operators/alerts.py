@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import cal, dates, ident
 from ledgerloom.functions.money import signed_paise
+from ledgerloom.session import here
 
 #: Words that tell the direction, words before and after a payee, and patterns of amounts.
 DEBIT_WORDS = ("debited", "spent", "withdrawn", "paid", "sent", "purchase")
@@ -45,30 +46,34 @@ def _amount(text: Column) -> tuple[Column, Column]:
     return paise, F.substring(text, at + F.length(whole), F.length(text))
 
 
-def _trim_payee(tail: Column) -> Column:
-    """Words up to punctuation or a word that ends a payee; null if none is left."""
-    words = F.filter(F.split(F.regexp_replace(tail, f"(?s){PAYEE_END}.*$", ""), r"\s+"), lambda w: w != "")
-    low = F.transform(words, lambda w: F.lower(w))
-    stop = F.transform(low, lambda w, i: w.isin(*STOP_WORDS) | (w.isin(*STOP_BEFORE_NUMBER) & F.coalesce(F.get(low, i + 1).rlike(r"^\p{N}"), F.lit(False))))
-    at = F.array_position(stop, F.lit(True))
-    kept = F.when(at > 0, F.slice(words, F.lit(1), (at - 1).cast("int"))).otherwise(words)
-    return F.nullif(F.array_join(kept, " "), F.lit(""))
+def _with_payee(x: DataFrame) -> DataFrame:
+    """``x`` (direction, _rest) with _payee: the payee after the first lead word that gives one.
 
+    Each step is a column of its own, so that no step is worked out twice.
+    """
+    low = F.col("_low")
+
+    def tails(leads: tuple[str, ...]) -> Column:
+        found = [F.when(F.instr(low, lead) > 0, F.substring("_rest", F.instr(low, lead) + len(lead), F.length("_rest"))) for lead in leads]
+        return F.array_compact(F.array(*found))
+
+    def kept(z: Column) -> Column:
+        # up to a stop word, or one that stops before a number
+        stop = F.transform(z["l"], lambda w, i: w.isin(*STOP_WORDS) | (w.isin(*STOP_BEFORE_NUMBER) & F.coalesce(F.get(z["l"], i + 1).rlike(r"^\p{N}"), F.lit(False))))
+        return F.slice(z["w"], F.lit(1), F.coalesce(F.nullif(F.array_position(stop, F.lit(True)).cast("int"), F.lit(0)) - 1, F.size(z["w"])))
 
-def _payee(rest: Column, leads: tuple[str, ...]) -> Column:
-    """The payee after the first lead word that gives one."""
-    low = F.lower(rest)
-    found = []
-    for lead in leads:
-        at = F.instr(low, lead)
-        found.append(F.when(at > 0, _trim_payee(F.substring(rest, at + len(lead), F.length(rest)))))
-    return F.coalesce(*found)
+    x = x.withColumn("_low", F.lower("_rest"))
+    x = x.withColumn("_tails", F.when(F.col("direction") == "credit", tails(CREDIT_LEADS)).otherwise(tails(DEBIT_LEADS)))
+    x = x.withColumn("_words", F.transform("_tails", lambda t: F.filter(F.split(F.regexp_replace(t, f"(?s){PAYEE_END}.*$", ""), r"\s+"), lambda w: w != "")))
+    x = x.withColumn("_lows", F.transform("_words", lambda ws: F.transform(ws, lambda w: F.lower(w))))
+    x = x.withColumn("_both", F.arrays_zip(F.col("_words").alias("w"), F.col("_lows").alias("l")))
+    x = x.withColumn("_kept", F.filter(F.transform("_both", kept), lambda ws: F.size(ws) > 0))
+    return x.withColumn("_payee", F.array_join(F.get("_kept", F.lit(0)), " ")).drop("_low", "_tails", "_words", "_lows", "_both", "_kept")
 
 
-def capture_time(day: Column, received: Column, text: Column) -> Column:
+def capture_time(day: Column, received: Column, minutes: Column) -> Column:
     """When an alert says it happened: its day and clock time, the arrival if it names no other day, else the start of its day."""
     midnight = cal.utc(day.cast("timestamp_ntz"))
-    minutes = dates.clock_minutes(text)
     clock = midnight + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
     return F.when(day.isNull(), received).when(minutes.isNotNull(), clock).when(day == cal.day(received), received).otherwise(midnight)
 
@@ -81,13 +86,15 @@ def parse_alerts(alerts: DataFrame, text: str = "text", received: str = "receive
     taken = {"direction", "amount_paise", "vpa", "payee", "account_tail", "ts", "capture_hash"}
     own = [c for c in alerts.columns if c in (text, received) or c.lower() not in taken]
     flat = F.btrim(F.regexp_replace(F.col(text), r"(?U)\s+", " "))
-    x = alerts.select(*own).withColumn("_t", flat).withColumn("direction", direction(F.col("_t"))).where("direction is not null")
+    x = alerts.select(*own).withColumn("_t", flat).withColumn("direction", direction(F.col("_t")))
     paise, rest = _amount(F.col("_t"))
-    x = x.withColumns({"amount_paise": paise, "_rest": rest, "vpa": ident.vpa(F.col("_t")), "account_tail": ident.account_tail(F.col("_t"))}).where("amount_paise > 0")
-    payee = F.when(F.col("direction") == "credit", _payee(F.col("_rest"), CREDIT_LEADS)).otherwise(_payee(F.col("_rest"), DEBIT_LEADS))
-    x = x.withColumn("payee", F.coalesce(payee, F.split_part(F.col("vpa"), F.lit("@"), F.lit(1)))).where("payee is not null")
-    x = x.withColumn("ts", capture_time(dates.alert_day(F.col("_t")), F.col(received), F.col(text)))
-    return x.withColumn("capture_hash", ident.capture_hash(F.col("amount_paise"), F.col("direction"), F.col("payee"), F.col("vpa"), F.col("ts"))).drop("_t", "_rest")
+    x = x.withColumn("amount_paise", paise)
+    x = _with_payee(x.withColumns({"_rest": rest, "vpa": ident.vpa(F.col("_t")), "account_tail": ident.account_tail(F.col("_t"))}))
+    x = x.withColumn("payee", F.coalesce("_payee", F.split_part(F.col("vpa"), F.lit("@"), F.lit(1))))
+    x = x.where(here(F.col("direction").isNotNull() & (F.col("amount_paise") > 0) & F.col("payee").isNotNull()))
+    x = x.withColumns({"_day": dates.alert_day(F.col("_t")), "_minutes": dates.clock_minutes(F.col(text))})
+    x = x.withColumn("ts", capture_time(F.col("_day"), F.col(received), F.col("_minutes")))
+    return x.withColumn("capture_hash", ident.capture_hash(F.col("amount_paise"), F.col("direction"), F.col("payee"), F.col("vpa"), F.col("ts"))).drop("_t", "_rest", "_payee", "_day", "_minutes")
 
 
 def ledger_rows(extracted: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ledgerloom.functions import cal, dates
 from ledgerloom.functions.ident import synthetic_reference
 from ledgerloom.functions.money import signed_paise
 from ledgerloom.functions.text import bank_name, shape_mask
+from ledgerloom.session import here
 
 #: Words of a header row.
 HEADER_WORDS = "(?i)date|narration|particular|description|remarks|debit|credit|withdraw|deposit|amount|balance|ref|cheque"
@@ -186,8 +187,8 @@ def apply_specs(table: DataFrame, specs: Sequence[dict]) -> DataFrame:
         roles = [*required, *sorted(r for r in spec["header"] if r not in required)]
         # one fold over the roles: each takes the first fitting cell that is free, or -1
         wanted = F.array(*(F.lit(f"(?i){spec['header'][r]}") for r in roles))
-        heads = rows.withColumn("_at", F.aggregate(wanted, F.array().cast("array<int>"), lambda acc, p: F.array_append(acc, F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.get("cells", i).rlike(p) & ~F.array_contains(acc, i)), F.lit(0)), F.lit(-1)))))
-        heads = heads.where(F.size("cells") > 0).where(~F.array_contains(F.slice("_at", 1, len(required)), -1))
+        heads = rows.where(F.size("cells") > 0).withColumn("_at", F.aggregate(wanted, F.array().cast("array<int>"), lambda acc, p: F.array_append(acc, F.coalesce(F.get(F.filter(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.regexp_like(F.get("cells", i), p) & ~F.array_contains(acc, i)), F.lit(0)), F.lit(-1)))))
+        heads = heads.where(here(~F.array_contains(F.slice("_at", 1, len(required)), -1)))
         col = lambda r: F.nullif(F.get("_at", F.lit(roles.index(r))), F.lit(-1)) if r in roles else F.lit(None).cast("int")
         mapping = F.struct(col("date").alias("date_col"), col("narration").alias("narration_col"), col("reference").alias("reference_col"), col("debit").alias("debit_col"), col("credit").alias("credit_col"), col("amount").alias("amount_col"), col("drcr").alias("side_col"), col("balance").alias("balance_col"))
         first = heads.groupBy("doc_id").agg(F.min_by(mapping, "row_ix").alias("m"), F.min("row_ix").alias("header_ix"))

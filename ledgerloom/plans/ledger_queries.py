@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import cal, dates, ident, money, text
 from ledgerloom.operators import alerts, analytics, insights, ledger, match, rules, suggest, verify
 from ledgerloom.plans import derive
-from ledgerloom.session import table
+from ledgerloom.session import stored, table
 from ledgerloom.streaming import capture
 
 QUERIES: dict = {}
@@ -445,7 +445,8 @@ def insight_outliers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def insight_engine(spark: SparkSession, d: str) -> DataFrame:
-    cards = insights.insight_cards(derive.insight_rows(spark, d), table(spark, d, "stored_documents"), derive.now())
+    rows = stored(derive.insight_rows(spark, d), "insight-rows")  # every detector reads them
+    cards = insights.insight_cards(rows, table(spark, d, "stored_documents"), derive.now())
     return cards.withColumn("evidence", F.array_join("evidence", ","))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", name: str = "ledgerloom") -> SparkSession:
@@ -50,3 +51,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def here(condition: Column) -> Column:
+    """A filter that stays where it stands.
+
+    Catalyst moves a filter below the projections it reads by writing their expressions into it again, which for a chain of
+    dear columns repeats them over and over; a condition it holds for non-deterministic is left in place.
+    """
+    return F.when(condition, F.rand(0)).isNotNull()
