@@ -59,4 +59,4 @@ def here(condition: Column) -> Column:
     Catalyst moves a filter below the projections it reads by writing their expressions into it again, which for a chain of
     dear columns repeats them over and over; a condition it holds for non-deterministic is left in place.
     """
-    return F.when(condition, F.rand(0)).isNotNull()
+    return F.when(condition, F.rand(0)).otherwise(-1 - F.rand(1)) >= 0
