@@ -355,13 +355,20 @@ def capture_pairs(spark: SparkSession, d: str) -> DataFrame:
     return match.pair_detections(match.judged_candidates(*_sides(spark, d)))
 
 
+def _captured(spark: SparkSession, d: str) -> DataFrame:
+    """Captured alerts, the first of each capture hash: the same alert posted again is no second memo."""
+    a = alerts.parse_alerts(table(spark, d, "alerts"))
+    cols = ["book_id", "amount_paise", "direction", "ts", "account_tail", "vpa", "payee"]
+    return a.groupBy(F.col("capture_hash").alias("id")).agg(F.min_by(F.struct(*cols), F.struct("received_at", "alert_id")).alias("r")).select("id", "r.*")
+
+
 def _memo_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Statement rows, and a quarter of them as memos that came up to four days before."""
-    t = derive.ledger(spark, d).where("source_raw in ('hdfc', 'idfc')")
+    """Memos and bank rows. Memos are the captured alerts, and each bank row with a counterparty as one that came up to four days before."""
+    t = derive.ledger(spark, d).where(rules.source_kind(F.col("source_raw")) == "bank")
     early = F.col("txn_at") - F.make_dt_interval(F.pmod(F.col("amount_paise"), F.lit(5)).cast("int"))
-    memos = t.where((F.coalesce("counterparty", F.lit("")) != "") & (ident.hash_split(F.col("uuid"), 4) == 0)).select("book_id", F.col("uuid").alias("id"), "amount_paise", "direction", early.alias("ts"), F.lit(None).cast("string").alias("vpa"), F.col("counterparty").alias("payee"))
+    memos = t.where(F.coalesce("counterparty", F.lit("")) != "").select("book_id", F.col("uuid").alias("id"), "amount_paise", "direction", early.alias("ts"), ident.vpa(F.coalesce("narration", F.lit(""))).alias("vpa"), F.col("counterparty").alias("payee"))
     rows = t.select("book_id", F.col("uuid").alias("id"), "amount_paise", "direction", F.col("txn_at").alias("ts"), "narration")
-    return memos, rows
+    return memos.unionByName(_captured(spark, d).select(*memos.columns)), rows
 
 
 @query(f"""WITH {L}, memos AS (SELECT * REPLACE (txn_at - to_days(CAST(amount_paise % 5 AS INTEGER)) + INTERVAL 330 MINUTE AS ist), regexp_extract(lower(counterparty), '\\p{{L}}+') AS first FROM ledger WHERE source_raw IN ('hdfc', 'idfc') AND coalesce(counterparty, '') <> '' AND CAST(('0x' || sha1(uuid)[-2:]) AS INTEGER) % 4 = 0), rows AS (SELECT *, regexp_extract_all(lower(coalesce(narration, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS t FROM ledger WHERE source_raw IN ('hdfc', 'idfc'))
