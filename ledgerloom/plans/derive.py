@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.rules import longest_match
-from ledgerloom.session import table
+from ledgerloom.operators import match
+from ledgerloom.operators.ledger import supersede_alerts, visible
+from ledgerloom.operators.rules import longest_match, source_kind
+from ledgerloom.session import stored, table
 
 #: Category rules of the queries: pattern and category.
 RULES = (
@@ -26,18 +28,37 @@ def payee_text() -> Column:
     return F.concat_ws(" ", F.coalesce("counterparty", F.lit("")), F.coalesce("narration", F.lit("")))
 
 
-def ledger(spark: SparkSession, d: str) -> DataFrame:
-    """Stored transactions, the first of each content hash, with their category."""
+def _first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Stored transactions, the first of each content hash."""
     t = table(spark, d, "stored_transactions")
     cols = ["uuid", "book_id", "source_raw", "txn_at", "amount_paise", "direction", "counterparty", "reference", "narration", "category_override"]
-    first = t.groupBy("content_hash").agg(F.min_by(F.struct(*cols), F.struct("txn_at", "uuid")).alias("r")).select("r.*")
-    return first.withColumn("category", F.coalesce(F.nullif("category_override", F.lit("")), longest_match(payee_text(), RULES)))
+    return t.groupBy("content_hash").agg(F.min_by(F.struct(*cols), F.struct("txn_at", "uuid")).alias("r")).select("r.*")
+
+
+def _categorized(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("category", F.coalesce(F.nullif("category_override", F.lit("")), longest_match(payee_text(), RULES)))
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Stored transactions, the first of each content hash, with their category."""
+    return _categorized(_first_rows(spark, d))
 
 
 def insight_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The ledger as insight rows; the narration stands in for an empty payee."""
+    """The ledger as insight rows, each payment once: without alerts that an export holds, bank sides of matches and own transfers.
+
+    The narration stands in for an empty payee. Rows are written once, as the matching and all readers need them.
+    """
+    rows = stored(supersede_alerts(_first_rows(spark, d))[0], "ledger-rows")
+    sides = rows.select("book_id", F.col("uuid").alias("id"), F.col("txn_at").alias("ts"), "amount_paise", "direction", "reference", "source_raw")
+    app, bank = (sides.where(source_kind(F.col("source_raw")) == kind) for kind in ("paymentApp", "bank"))
+    transfers = match.self_transfers(bank)
+    flagged = stored(transfers.select(F.explode(F.array("debit_id", "credit_id")).alias("id")), "own-transfers")
+    own_alerts = match.alert_self_transfers(app.where("source_raw = 'alert'"), bank.join(flagged, "id", "left_semi"))
+    own = flagged.union(own_alerts).distinct().withColumnRenamed("id", "uuid")
+    kept = _categorized(visible(rows, match.reconcile(app, bank), "uuid").join(own, "uuid", "left_anti"))
     merchant = F.coalesce(F.nullif("counterparty", F.lit("")), F.col("narration"))
-    return ledger(spark, d).select("book_id", F.col("uuid").alias("id"), F.col("txn_at").alias("ts"), "amount_paise", "direction", "category", merchant.alias("merchant"))
+    return stored(kept.select("book_id", F.col("uuid").alias("id"), F.col("txn_at").alias("ts"), "amount_paise", "direction", "category", merchant.alias("merchant")), "insight-rows")
 
 
 def recon(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -1,8 +1,11 @@
 """Queries take whole tables: fixtures in which a cut would show."""
 
+import random
 from datetime import datetime, timedelta
 
-from ledgerloom.plans import ledger_queries
+from test_match import loop_reconcile
+
+from ledgerloom.plans import derive, ledger_queries
 
 TXN = "uuid string, book_id long, content_hash string, source_raw string, txn_at timestamp_ntz, amount_paise long, direction string, counterparty string, reference string, narration string, category_override string, document_id string"
 ALERT = "alert_id long, book_id long, received_at timestamp_ntz, channel string, issuer string, text string"
@@ -36,3 +39,39 @@ def test_all_memos_take_part(spark, tmp_path):
             used |= {("m", m), ("r", r)}
             want.add((m, r))
     assert {(r.memo_id, r.row_id) for r in ledger_queries.capture_merge(spark, d).collect()} == want
+
+
+def loop_insight_rows(txns):
+    """uuid and payee's category source of the rows that count, for rows of different content hashes."""
+    kind = lambda t: "app" if t[3] in ("gpay", "paytm", "bhim", "alert") or t[3].startswith("upi:") else "bank"
+    exports = {(t[1], t[8], t[6]) for t in txns if kind(t) == "app" and t[3] != "alert" and t[8]}
+    rows = [t for t in txns if not (t[3] == "alert" and (t[1], t[8], t[6]) in exports)]
+    gone = set()
+    for book in {t[1] for t in rows}:
+        mine = [t for t in rows if t[1] == book]
+        side = lambda k: [(t[1], t[0], t[4], t[5], t[6], t[8], t[3]) for t in mine if kind(t) == k]  # noqa: B023, E731
+        gone |= {b for _, b, _ in loop_reconcile(side("app"), side("bank"))}
+        free, own = sorted((t for t in mine if kind(t) == "bank" and t[6] == "credit"), key=lambda t: (t[4], t[0])), []
+        for a in sorted((t for t in mine if kind(t) == "bank" and t[6] == "debit"), key=lambda t: (t[4], t[0])):
+            near = [c for c in free if c[3] != a[3] and c[5] == a[5] and abs(c[4] - a[4]) <= timedelta(days=2)]
+            if near:
+                c = min(near, key=lambda c: (abs(c[4] - a[4]), c[4], c[0]))
+                free.remove(c)
+                own += [a, c]
+        refs, alerts = {t[8] for t in own if t[8]}, [t for t in mine if t[3] == "alert" and t[8]]
+        both = {(t[8], t[5]) for t in alerts if any(o[8] == t[8] and o[5] == t[5] and o[6] != t[6] for o in alerts)}
+        gone |= {t[0] for t in own} | {t[0] for t in alerts if t[8] in refs or (t[8], t[5]) in both}
+    return {t[0] for t in rows if t[0] not in gone}
+
+
+def test_insight_rows_hold_each_payment_once(spark, tmp_path):
+    # one payment as export, statement row and alert; one without reference; an own transfer and its alert
+    txns = [txn("e", "gpay", ref="r", party="x"), txn("b", ref="r"), txn("a", "alert", ref="r", override="Rent"), txn("e2", "gpay", amount=7), txn("b2", ts=T + timedelta(days=1), amount=7)]
+    txns += [txn("d", amount=900, ref="t"), txn("c", "idfc", amount=900, direction="credit"), txn("ta", "alert", amount=901, ref="t")]
+    got = {r.id: r.category for r in derive.insight_rows(spark, folder(spark, tmp_path / "few", txns)).collect()}
+    assert set(got) == {"e", "e2"} == loop_insight_rows(txns) and got["e"] == "Rent"
+    rng = random.Random(5)
+    ref = lambda: rng.choice([None, "", *(f"r{i}" for i in range(25))])
+    many = [txn(f"u{i:03}", rng.choice(["gpay", "alert", "hdfc", "idfc", "bank:x"]), T + timedelta(hours=rng.randint(0, 700)), rng.choice([100, 200, 300]), rng.choice(["debit", "credit"]), ref=ref(), book=rng.randint(1, 2)) for i in range(300)]
+    got = [r.id for r in derive.insight_rows(spark, folder(spark, tmp_path / "many", many)).collect()]
+    assert len(got) == len(set(got)) and set(got) == loop_insight_rows(many)
