@@ -20,7 +20,6 @@ ids once; long texts are worked off in pieces of windows; empty tables give an e
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,9 +38,9 @@ class LeakConfig:
 
     window: int = 12
     max_edits: int = 2
-    walks: int = 3
+    walks: int = 6
     samples: int = 4
-    places: int = 9
+    places: int = 7
     seed: int = 20240601
     block_windows: int = 200_000
     chunk: int = 100_000
@@ -111,7 +110,9 @@ class _Index:
 
     def __init__(self, items: list[tuple[int, list[int]]], cgk: CGK):
         c, flat, starts, self.owner = cgk.c, [], [], []
-        for item, syms in items:
+        self.item_of: list[int] = []
+        for n, (item, syms) in enumerate(items):
+            self.item_of += [n] * max(0, len(syms) - c.window + 1)
             for k in range(len(syms) - c.window + 1):
                 starts.append(len(flat) + k)
                 self.owner.append((item, k))
@@ -147,27 +148,31 @@ def _search(batches: Iterator[pd.DataFrame], items: list[tuple[int, list[int]]],
                 for i, lo, hi in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
                     found.update(i * size + k for k in order[lo:hi].tolist())
             best: dict[tuple[int, int], tuple[int, set[int]]] = {}
-            near = defaultdict(list)
-            for code in found:
-                near[code // size].append(code % size)
-            for i, ks in near.items():
+            seen, todo = set(found), list(found)
+            while todo:
+                i, k = divmod(todo.pop(), size)
                 a = flat[begins[i] : begins[i] + c.window]
-                for k in ks:
-                    b = index.flat[index.starts[k] : index.starts[k] + c.window].tolist()
-                    e = 0 if a == b else word_edits(a, b, c.max_edits)
-                    if e <= c.max_edits:
-                        item, place = index.owner[k]
-                        key = (owners[doc_of[i]][0], item)
-                        least, held = best.get(key, (e, set()))
-                        held.update(range(place, place + c.window))
-                        best[key] = (min(least, e), held)
+                b = index.flat[index.starts[k] : index.starts[k] + c.window].tolist()
+                e = 0 if a == b else word_edits(a, b, c.max_edits)
+                if e > c.max_edits:
+                    continue
+                item, place = index.owner[k]
+                key = (owners[doc_of[i]][0], item)
+                least, held = best.get(key, (e, set()))
+                held.update(range(place, place + c.window))
+                best[key] = (min(least, e), held)
+                # the windows beside a verified pair, inside the same piece and item
+                for x, y in ((i - 1, k - 1), (i + 1, k + 1), (i - 1, k), (i + 1, k), (i, k - 1), (i, k + 1)):
+                    if 0 <= x < len(begins) and 0 <= y < size and doc_of[x] == doc_of[i] and index.item_of[y] == index.item_of[k] and x * size + y not in seen:
+                        seen.add(x * size + y)
+                        todo.append(x * size + y)
             out.extend((d, item, e, sorted(held)) for (d, item), (e, held) in best.items())
             flat.clear(), starts.clear(), owners.clear()
 
         for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
             syms = [symbols[w] for w in words(text)]
             for lo in range(0, len(syms) - c.window + 1, c.chunk):
-                part = syms[lo : lo + c.chunk + c.window - 1]
+                part = syms[lo : lo + c.chunk + 3 * c.window]  # pieces overlap, so a passage between two is seen by both
                 starts.append(np.arange(len(part) - c.window + 1) + len(flat))
                 owners.append((doc, len(part) - c.window + 1))
                 flat.extend(part)

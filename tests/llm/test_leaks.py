@@ -60,3 +60,27 @@ def test_blocks_give_the_same_result_and_empty_sides(spark):
 
 def test_word_edits():
     assert leaks.word_edits([1, 2, 3], [1, 2, 3], 2) == 0 and leaks.word_edits([1, 2, 3], [2, 3, 4], 2) == 2 and leaks.word_edits([1] * 5, [2] * 5, 2) == 3
+
+
+def test_recall_of_windows_with_two_edits_against_brute_force(spark):
+    rng, c = random.Random(11), leaks.LeakConfig()
+    items, docs = [], []
+    for i in range(450):
+        w = [f"v{rng.randrange(10**6)}" for _ in range(13 + i % 3)]
+        piece = list(w[:12] if i % 3 == 0 else w)
+        for _ in range(2):
+            p = rng.randrange(1, len(piece) - 1)
+            piece[p : p + (i % 3 != 1)] = [] if i % 3 == 2 else [f"n{rng.randrange(10**6)}"]
+        items.append((i, " ".join(w[:12] if i % 3 == 0 else w)))
+        docs.append((i, " ".join([*(rng.choice(WORDS) for _ in range(9)), *piece, *(rng.choice(WORDS) for _ in range(9))])))
+    want = {}
+    for (i, text), (_, body) in zip(items, docs):
+        a, b = text.split(), body.split()
+        for k in range(len(a) - 11):
+            if any(leaks.word_edits(b[s : s + 12], a[k : k + 12], c.max_edits) <= c.max_edits for s in range(len(b) - 11)):
+                want.setdefault(i, set()).update(range(k, k + 12))
+    got = {r.doc_id: r.leaked_words for r in leaks.find_leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).where("doc_id = item_id").collect()}
+    for kind in range(3):
+        mine = [i for i in want if i % 3 == kind]
+        assert len(mine) > 20 and len(set(mine) & set(got)) >= 0.9 * len(mine)
+    assert set(got) <= set(want) and sum(got[i] == len(want[i]) for i in got) >= 0.99 * len(got)
