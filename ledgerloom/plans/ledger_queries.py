@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import cal, dates, ident, money, text
 from ledgerloom.operators import alerts, analytics, insights, ledger, match, rules, suggest, verify
 from ledgerloom.plans import derive
-from ledgerloom.session import table
+from ledgerloom.session import stored, table
 from ledgerloom.streaming import capture
 
 QUERIES: dict = {}
@@ -304,7 +304,7 @@ def match_reconcile(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {R}, {_T1} SELECT 'app' AS side, id FROM a WHERE id NOT IN (SELECT app_id FROM t1) UNION ALL SELECT 'bank', id FROM b WHERE id NOT IN (SELECT bank_id FROM t1)")
 def match_unmatched(spark: SparkSession, d: str) -> DataFrame:
     app, bank = derive.recon(spark, d)
-    return match.unmatched(app, bank, match.tier1(app, bank))
+    return match.unmatched(app, bank, stored(match.reconcile(app, bank), "matches"))  # both sides read them
 
 
 @query()
@@ -323,7 +323,7 @@ def match_alert_self_transfers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {R}, {_T1} SELECT id FROM b WHERE id NOT IN (SELECT bank_id FROM t1)")
 def ledger_visible(spark: SparkSession, d: str) -> DataFrame:
     app, bank = derive.recon(spark, d)
-    return ledger.visible(bank, match.tier1(app, bank)).select("id")
+    return ledger.visible(bank, match.reconcile(app, bank)).select("id")
 
 
 # captured alerts against the ledger

@@ -75,3 +75,17 @@ def test_insight_rows_hold_each_payment_once(spark, tmp_path):
     many = [txn(f"u{i:03}", rng.choice(["gpay", "alert", "hdfc", "idfc", "bank:x"]), T + timedelta(hours=rng.randint(0, 700)), rng.choice([100, 200, 300]), rng.choice(["debit", "credit"]), ref=ref(), book=rng.randint(1, 2)) for i in range(300)]
     got = [r.id for r in derive.insight_rows(spark, folder(spark, tmp_path / "many", many)).collect()]
     assert len(got) == len(set(got)) and set(got) == loop_insight_rows(many)
+
+
+def test_unmatched_and_visible_follow_both_tiers(spark, tmp_path):
+    rng = random.Random(3)
+    side = lambda start: [(start + i, rng.randint(1, 2), T + timedelta(hours=rng.randint(0, 600)), rng.choice([100, 200]), rng.choice(["debit", "credit"]), rng.choice([None, "r1", "r2", "r3"])) for i in range(60)]
+    app, bank = side(0), side(1000)
+    for name, key, rows in (("recon_app", "app_id", app), ("recon_bank", "bank_id", bank)):
+        spark.createDataFrame(rows, f"{key} long, book_id long, txn_at timestamp_ntz, amount_paise long, direction string, reference string").write.parquet(f"{tmp_path}/{name}.parquet")
+    row = lambda r: (r[1], r[0], *r[2:])
+    found = [m for book in (1, 2) for m in loop_reconcile([row(r) for r in app if r[1] == book], [row(r) for r in bank if r[1] == book])]
+    assert {t for _, _, t in found} == {"reference", "amountDate"}
+    apps, banks = {r[0] for r in app} - {a for a, _, _ in found}, {r[0] for r in bank} - {b for _, b, _ in found}
+    assert {tuple(r) for r in ledger_queries.match_unmatched(spark, str(tmp_path)).collect()} == {("app", i) for i in apps} | {("bank", i) for i in banks}
+    assert {r.id for r in ledger_queries.ledger_visible(spark, str(tmp_path)).collect()} == banks
