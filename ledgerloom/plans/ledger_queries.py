@@ -330,11 +330,12 @@ def ledger_visible(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    app, bank = derive.recon(spark, d)
+    """Captured alerts, and all rows of the ledger: an alert has handle, payee and tail, a row has payee, narration and reference."""
     blank = F.lit(None).cast("string")
-    a = app.select("book_id", "id", "amount_paise", "direction", "ts", blank.alias("account_tail"), blank.alias("vpa"), F.lit("").alias("payee"), F.lit("").alias("narration"), F.nullif("reference", F.lit("")).alias("reference"))
-    b = bank.select("book_id", "id", "amount_paise", "direction", "ts", blank.alias("account_tail"), blank.alias("vpa"), F.lit("").alias("payee"), F.lit("").alias("narration"), F.nullif("reference", F.lit("")).alias("reference"))
-    return a, b
+    cols = ("book_id", "id", "amount_paise", "direction", "ts", "account_tail", "vpa", "payee", "narration", "reference")
+    a = _captured(spark, d).withColumns({"narration": F.lit(""), "reference": blank})
+    b = derive.ledger(spark, d).withColumns({"id": F.col("uuid"), "ts": F.col("txn_at"), "account_tail": blank, "vpa": blank, "payee": F.coalesce("counterparty", F.lit("")), "narration": F.coalesce("narration", F.lit("")), "reference": F.nullif("reference", F.lit(""))})
+    return a.select(*cols), b.select(*cols)
 
 
 @query(f"""WITH {R}, p AS (SELECT a.id AS a_id, b.id AS b_id, a.reference AS ra, b.reference AS rb, a.amount_paise = b.amount_paise AND a.direction = b.direction AND abs(datediff('day', CAST(a.ts + INTERVAL 330 MINUTE AS DATE), CAST(b.ts + INTERVAL 330 MINUTE AS DATE))) <= 3 AS near

@@ -89,3 +89,11 @@ def test_unmatched_and_visible_follow_both_tiers(spark, tmp_path):
     apps, banks = {r[0] for r in app} - {a for a, _, _ in found}, {r[0] for r in bank} - {b for _, b, _ in found}
     assert {tuple(r) for r in ledger_queries.match_unmatched(spark, str(tmp_path)).collect()} == {("app", i) for i in apps} | {("bank", i) for i in banks}
     assert {r.id for r in ledger_queries.ledger_visible(spark, str(tmp_path)).collect()} == banks
+
+
+def test_alerts_are_judged_by_handle_payee_and_tail(spark, tmp_path):
+    txns = [txn("vpa", amount=90_000, narration="UPI shop pay"), txn("name", "gpay", amount=80_000, party="Mohan", narration="MOHAN", ref="r1"), txn("tail", amount=70_000, narration="CARD XX4321"), txn("none", amount=60_000, narration="NEFT", party="Zed"), txn("late", ts=T + timedelta(days=4), amount=90_000, narration="UPI shop pay")]
+    texts = ["Rs 900.00 paid to Ravi via shop@pay on 03/03/2025", "Rs 800.00 paid to Mohan on 03/03/2025", "Rs 700.00 paid to Kiran on 03/03/2025 from a/c 4321", "Rs 600.00 paid to Ravi on 03/03/2025"]
+    d = folder(spark, tmp_path, txns, [(i, 1, T, "sms", "X", t) for i, t in enumerate(texts)])
+    assert {r.b_id: r.verdict for r in ledger_queries.capture_judge(spark, d).collect()} == {"vpa": "merge", "name": "merge", "tail": "merge", "none": "suggested"}
+    assert {r.b_id for r in ledger_queries.capture_pairs(spark, d).collect()} == {"vpa", "name", "tail"}
