@@ -1,16 +1,18 @@
-"""Variant spellings of names typed by people: pigeonhole segment join on parsed name keys.
+"""Variant spellings of names typed by people: pigeonhole segment joins over the words and the whole of each name.
 
-A name is parsed to a key: a person to (given name, surname), a business to (trade, stem). Titles and
-legal endings fall away, nicknames stand for their names, abbreviated, shortened or misspelt trade words
-for their trade, parts may come in either order or run together. A name that fits neither is keyed by all
-its letters in both orders.
+A name becomes a form: its words in lower case without titles, linking words and legal endings. A form is read as a
+stem (a rare word of the table: a surname or a firm's own word) and a rest (given names, trade). Stems of one book are joined by
+edit distance with the segment join of ``segments``: k + 1 segments, an inverted index by (length, place, segment), probes at the
+positions k edits can shift a segment to, banded edit distance. Forms with joined stems are one payee if their rests fit word by word:
 
-Keys of one book and given name (or trade) are then joined by edit distance: each key is cut into
-k + 1 segments, an inverted index of (length, place, segment) is probed with the substrings of other keys at the
-positions k edits can shift them to, and candidates are verified by banded edit distance. Of any two
-keys within k edits one segment is equal, so no pair is missed. Components of the links are the entities.
-A name with an initial joins the entity of the one given name in its book that has the initial and surname;
-where relatives share the initial it joins none.
+* equal, or standing for one given name in ``nicknames`` (an input table; a default comes with the module),
+* within the allowed edits, unless both words are given names of the table or both are common in the data and neither is far more common
+  than the other (so a misspelling is rare against its word, at any size of the data),
+* shortened: an initial, a start, a skeleton of consonants, a start with another vowel at the end; or trailing words left out.
+
+Shortened forms join the one fuller entity that fits them best, and none if several fit equally (relatives with one initial). A form
+of one word is also cut in two at the stems of its book, and joined with the whole letters of all other forms by edit distance.
+Components of the links are the entities. No name, trade or ending decides what is compared: words are weighed by the counts of this table.
 
 Defined cases: null and empty names have no links; a name without letters is linked to nothing; names
 are compared within their book only, a null book being one of its own; repeated rows count once.
@@ -27,26 +29,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import stored
+from ledgerloom.llm.segments import components, edit_join, pairs_within, segment_join
+from ledgerloom.session import forget, stored
 
-#: Short forms of given names.
+#: Given names and their short forms (default of ``nicknames``). A name without short forms is a name of its own.
 NICKNAMES = {
-    "omprakash": "omi", "elizabeth": "liz beth betty", "subramani": "subbu", "jayalakshmi": "jaya", "pushpavati": "pushpa", "catherine": "cathy cate kate", "meenakshi": "meenu meena",
-    "kirtana": "kirti", "aditya": "adi", "manjunath": "manju", "zubeida": "zubi", "deepika": "deepu deepa", "nikhil": "nik", "krishnan": "krish", "vikram": "vicky vik", "rajesh": "raju raj",
-    "priyanka": "priya", "indrajit": "indu", "chandrika": "chandu", "gayatri": "gayu", "farhana": "faru", "balakrishna": "balu bala", "lakshmi": "lachu", "siddharth": "sid", "thomas": "tom",
-    "robert": "bob rob", "abhishek": "abhi", "harshvardhan": "harsh", "william": "bill will", "yogendra": "yogi",
+    # India
+    "abhishek": "abhi", "aditya": "adi", "ajay": "", "akash": "", "amit": "", "amitabh": "", "anand": "", "anil": "", "anita": "anu", "anjali": "anju", "arjun": "", "aruna": "", "ashok": "", "asha": "", "balakrishna": "bala balu",
+    "bharat": "", "bhavana": "", "chandrika": "chandu", "deepak": "", "deepika": "deepa deepu", "devendra": "dev", "dinesh": "", "farhana": "faru", "fatima": "", "ganesh": "", "gayatri": "gayu", "geeta": "", "gopal": "",
+    "harish": "", "harshvardhan": "harsh", "imran": "", "indrajit": "indu", "indira": "", "jayalakshmi": "jaya", "jyoti": "", "kalpana": "", "karthik": "", "kavita": "", "kiran": "", "kirtana": "kirti", "krishna": "", "krishnan": "krish",
+    "kumar": "", "lakshmi": "lachu", "lalita": "", "madhav": "", "madhuri": "madhu", "mahesh": "", "manjunath": "manju", "manoj": "", "meena": "", "meenakshi": "meena meenu", "mohan": "", "mohammed": "", "mukesh": "", "naresh": "",
+    "naveen": "", "neha": "", "nikhil": "nik", "nitin": "", "omprakash": "omi", "padma": "", "pooja": "", "pradeep": "", "prakash": "", "pramod": "", "prasad": "", "praveen": "", "priyanka": "priya", "pushpavati": "pushpa",
+    "rahul": "", "rajendra": "raju", "rajesh": "raj raju", "rakesh": "", "ramesh": "", "ravi": "", "ravindra": "ravi", "rekha": "", "ritu": "", "rohit": "", "sandeep": "", "sandhya": "", "sanjay": "sanju", "santosh": "", "sarita": "",
+    "seema": "", "shankar": "", "shanti": "", "shyam": "", "siddharth": "sid", "sita": "", "subramani": "subbu", "sunil": "", "sunita": "", "suresh": "", "swati": "", "uma": "", "usha": "", "vandana": "", "venkatesh": "venky",
+    "vijay": "", "vikram": "vicky vik", "vinod": "", "vishal": "", "yogendra": "yogi", "zubeida": "zubi",
+    # England and its like
+    "alexander": "alex sandy", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "catherine": "cathy cate kate", "charles": "charlie chuck", "christopher": "chris kit", "daniel": "dan danny", "david": "dave", "edward": "ed eddie ted",
+    "elizabeth": "liz beth betty eliza", "george": "", "henry": "harry hal", "james": "jim jimmy", "jennifer": "jen jenny", "john": "jack johnny", "joseph": "joe joey", "margaret": "maggie meg peggy", "mary": "molly polly", "michael": "mike mick",
+    "patricia": "pat patty", "peter": "pete", "richard": "dick rick", "robert": "bob rob bobby", "samuel": "sam", "susan": "sue susie", "thomas": "tom tommy", "victoria": "vicky", "william": "bill will billy",
 }
-#: Trades a business name may end with.
-TRADES = (
-    "provision stores", "medical stores", "stationery mart", "dairy farm", "tours travels", "book house", "motors", "enterprises", "services", "builders", "hardware", "textiles", "restaurant",
-    "jewellers", "traders", "bakery", "hospital", "agencies", "electronics", "pharmacy",
-)
-#: Short and run-together forms of trade words that keep too little of the word to be read from it.
-WORD_FORMS = {"agencies": "agcy agcs", "tours": "toursand", "hardware": "hdwr"}
-TITLES = frozenset("mr mrs ms miss shri sri smt dr prof".split())
-ENDINGS = frozenset("limited ltd private pvt p sons sns company co brothers bros brs and nd n".split())
-_LONG_ENDINGS = ("limited", "private", "company", "brothers")
-_LINKING = frozenset("and nd n".split())
+#: Titles, linking words and legal endings of names.
+TITLES = frozenset("mr mrs ms miss mx dr prof shri sri smt kumari".split())
+LINKING = frozenset("and nd n".split())
+ENDINGS = frozenset("limited ltd private pvt p llp inc plc corp sons sns company co brothers bros brs".split())
+LONG_ENDINGS = ("limited", "private", "company", "brothers", "incorporated", "corporation")
+
+#: A word may be a stem if it is at most so many times as frequent as the rarest word of its name.
+STEM_RATIO = 10
+#: Two words that both occur so often are different words unless one is ``TYPO_RATIO`` times as frequent.
+SEEN_OFTEN, TYPO_RATIO = 5, 10
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -67,240 +78,246 @@ def osa(a: str, b: str, most: int) -> int:
     return prev[-1]
 
 
-def _within(short: str, word: str) -> bool:
-    it = iter(word)
-    return all(c in it for c in short)
-
-
-@lru_cache(200_000)
-def _word_cost(token: str, word: str) -> int | None:
-    """How far a token is from standing for a word; None if it doesn't."""
-    if token == word:
-        return 0
-    if token in WORD_FORMS.get(word, "").split():
-        return 1
-    if len(token) >= 2 and word.startswith(token):
-        return 1
-    if len(token) >= 2 and token[0] == word[0] and _within(token, word):
-        return 2
-    most = 2 if len(token) >= 7 else 1 if len(token) >= 4 else 0
-    if most and (d := osa(token, word, most)) <= most:
-        return 1 + d
-    # shortened and misspelt: the start of the word up to one edit
-    if len(token) >= 4 and len(token) < len(word) and osa(token, word[: len(token)], 1) <= 1:
-        return 4
-    return None
-
-
-@lru_cache(200_000)
-def _trade(rest: tuple[str, ...]) -> tuple[int | None, tuple[str, ...]]:
-    """The least cost at which some words stand for trades, and these trades."""
-    best, found = None, []
-    for trade in TRADES:
-        parts = trade.split()
-        if len(rest) > len(parts):
-            continue
-        costs = [_word_cost(t, w) if i == 0 or len(t) > 1 else 2 if w.startswith(t) else None for i, (t, w) in enumerate(zip(rest, parts))]
-        if any(c is None for c in costs) or len(rest) < len(parts) and len(rest[-1]) < 3:
-            continue
-        cost = sum(costs) + (len(parts) - len(rest))
-        if best is None or cost < best:
-            best, found = cost, [trade]
-        elif cost == best:
-            found.append(trade)
-    return best, tuple(found)
-
-
-_GIVEN = {n: n for n in NICKNAMES} | {s: n for n, short in NICKNAMES.items() for s in short.split()}
-
-
-@lru_cache(200_000)
-def given_of(token: str) -> tuple[str, int] | None:
-    """The given name a token stands for, and how far it is from it."""
-    if token in _GIVEN:
-        return _GIVEN[token], 0
-    most = 2 if len(token) >= 7 else 1 if len(token) >= 4 else 0
-    best = min(((osa(token, g, most), n) for g, n in _GIVEN.items() if len(g) >= 4 and (len(g) >= 6 or most)), default=None)
-    if best and best[0] <= most and (best[0] == 1 or len(token) >= 7):
-        return best[1], best[0]
-    return None
+@lru_cache(100_000)
+def _is_ending(word: str) -> bool:
+    return word in ENDINGS or len(word) >= 5 and any(osa(word, w, 1) <= 1 for w in LONG_ENDINGS)
 
 
-def tokens_of(name: str) -> list[str]:
-    """Words in lower case, cut at capitals inside, without titles."""
+def form_of(name: str | None) -> tuple[list[str], list[str]]:
+    """The words of a name's form, and its letters run together as they may be written (with and without linking words, first word last)."""
+    if not name:
+        return [], []
     s = unicodedata.normalize("NFKC", name)
     s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s).lower().replace("&", " and ")
-    out = re.findall(r"[^\W\d_]+", s)
-    while len(out) > 1 and out[0] in TITLES:
-        out = out[1:]
-    return out
-
-
-def _is_ending(token: str) -> bool:
-    return token in ENDINGS or len(token) >= 5 and any(osa(token, w, 1) <= 1 for w in _LONG_ENDINGS)
+    words = re.findall(r"[^\W\d_]+", s)
+    while len(words) > 1 and words[0] in TITLES:
+        words = words[1:]
+    core = [w for w in words if w not in LINKING] if len(words) > 2 else list(words)
+    if len(core) < 2:
+        core = list(words)
+    while len(core) > 2 and (_is_ending(core[-1]) or core[-1] in ("a", "an") and len(core) < len(words)):
+        core.pop()
+    if len(core) == 1:
+        # endings run together with the rest
+        for tail in ("andsons", "andcompany", "andco", "brothers", "privatelimited", "limited"):
+            if core[0].endswith(tail) and len(core[0]) >= len(tail) + 6:
+                core = [core[0][: -len(tail)]]
+    # a linking word cut off at the end of a longer name says nothing
+    if len(core) > 2 and core[-1] in ("a", "an"):
+        core.pop()
+    linked = words[: words.index(core[-1]) + 1] if core and core[-1] in words else core
+    glued = {"".join(x) for way in (core, linked) for x in (way, way[1:] + way[:1])}
+    return core, sorted(glued)
 
 
-def name_keys(name: str | None) -> list[tuple[str, str, str]]:
-    """(kind, block, key) of a name. Kinds: P person, I person by initial, B business, G other."""
-    t = tokens_of(name) if name else []
-    if not t:
-        return []
-    core = list(t)
-    while len(core) > 2 and _is_ending(core[-1]):
-        core.pop()
-    cut = len(core) < len(t)
-    # a linking word, whole or cut off, says nothing
-    words = [w for i, w in enumerate(core) if w not in _LINKING and not (i == len(core) - 1 and w in ("a", "an"))] if len(core) > 2 else core
-    if len(words) == 2 and not cut:
-        a, b = words
-        for x, y in ((a, b), (b, a)):
-            if len(x) == 1 and len(y) > 1:
-                return [("I", x, y)]
-        ga, gb = given_of(a), given_of(b)
-        if ga and (not gb or ga[1] <= gb[1]) and (ga[1] == 0 or _word_cost_min(b) > 1):
-            return [("P", ga[0], b)]
-        if gb and (gb[1] == 0 or _word_cost_min(a) > 1):
-            return [("P", gb[0], a)]
-    if len(words) >= 2:
-        (fc, front), (bc, back) = _trade(tuple(words[1:])), _trade(tuple(words[:-1]))
-        if front and (bc is None or fc <= bc):
-            return [("B", trade, words[0]) for trade in front]
-        if back:
-            return [("B", trade, words[-1]) for trade in back]
-        # a middle initial or name: the first and last words tell the person
-        if len(words) == 3 and not cut and (g := given_of(words[0])) and g[1] == 0:
-            return [("P", g[0], words[-1])]
-    if len(words) == 1:
-        s = words[0]
-        for trade in TRADES:
-            run = [trade.replace(" ", ""), trade.replace(" ", "and")]
-            for r in run:
-                if len(s) > len(r) + 2 and s.endswith(r):
-                    return [("B", trade, s[: -len(r)])]
-                if len(s) > len(r) + 2 and s.startswith(r):
-                    return [("B", trade, s[len(r) :])]
-        for g in sorted(NICKNAMES, key=len, reverse=True):
-            if len(s) > len(g) + 2 and s.startswith(g):
-                return [("P", g, s[len(g) :])]
-            if len(s) > len(g) + 2 and s.endswith(g):
-                return [("P", g, s[: -len(g)])]
-    both = {"".join(words), "".join(words[1:] + words[:1])}
-    return [("G", "", k) for k in sorted(both)]
-
-
-def _word_cost_min(token: str) -> int:
-    c = _trade((token,))[0]
-    return 99 if c is None else c
-
-
-def keyed(names: DataFrame, name: str = "name") -> DataFrame:
-    """``names`` with kind, block, key: a row for each key."""
+def forms(names: DataFrame, name: str = "name") -> DataFrame:
+    """``names`` with words and glued."""
 
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield s.map(name_keys)
+            parsed = [form_of(n) for n in s]
+            yield pd.DataFrame({"words": [w for w, _ in parsed], "glued": [g for _, g in parsed]})
 
-    out = F.pandas_udf(parse, "array<struct<kind: string, block: string, key: string>>")
-    return names.withColumn("_k", F.explode(out(F.col(name)))).select(*names.columns, "_k.kind", "_k.block", "_k.key")
+    out = F.pandas_udf(parse, "words array<string>, glued array<string>")
+    return names.withColumn("_f", out(F.col(name))).select(*names.columns, "_f.words", "_f.glued")
 
 
-def allowed_edits(length: Column) -> Column:
-    """k for a key of some length: 2 from six letters, 1 from four, none below."""
-    return F.when(length >= 6, 2).when(length >= 4, 1).otherwise(0)
+def default_nicknames(df: DataFrame) -> DataFrame:
+    """word, given: the module's table of names as a DataFrame."""
+    rows = [(w, given) for given, short in NICKNAMES.items() for w in {given, *short.split()}]
+    return df.sparkSession.createDataFrame(rows, "word string, given string")
 
 
-def edit_join(keys: DataFrame, group: list[str], key: str = "key") -> DataFrame:
-    """group columns, key_a < key_b: all pairs of different keys of a group within the allowed edits of the shorter one."""
-    base = keys.select(*group, F.col(key).alias("s")).distinct().withColumn("g", F.xxhash64(*group)).withColumn("n", F.length("s")).where("n > 0")
+Word = tuple[str, int, frozenset]
 
-    def cut(df: DataFrame, length: str) -> DataFrame:
-        """Place and size of each of the k + 1 segments of a key of this length."""
-        k = allowed_edits(F.col(length)) + 1
-        df = df.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        small = F.expr(f"{length} div k").cast("int")
-        long_from = F.expr(f"k - {length} % k")
-        return df.withColumn("p", (F.col("i") * small + F.greatest(F.lit(0), F.col("i") - long_from)).cast("int")).withColumn("w", (small + (F.col("i") >= long_from).cast("int")).cast("int"))
 
-    index = cut(base.withColumn("l", F.col("n")), "l").select("g", "l", "i", F.expr("substring(s, p + 1, w)").alias("seg"), *(F.col(c).alias(f"_a{j}") for j, c in enumerate(group)), F.col("s").alias("a"))
-    probe = base.withColumn("l", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - 2), F.col("n")))).where(F.col("n") - F.col("l") <= allowed_edits(F.col("l")))
-    probe = cut(probe, "l").withColumn("d", F.col("n") - F.col("l"))
-    low, high = F.expr("greatest(0, p - (k - 1 - d) div 2)").cast("int"), F.expr("least(n - w, p + (k - 1 + d) div 2)").cast("int")
-    probe = probe.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
-    probe = probe.select("g", "l", "i", F.expr("substring(s, at + 1, w)").alias("seg"), *(F.col(c).alias(f"_b{j}") for j, c in enumerate(group)), F.col("s").alias("b"))
-    hits = index.join(probe, ["g", "l", "i", "seg"]).where(F.col("a") != F.col("b"))
-    for j in range(len(group)):
-        hits = hits.where(F.col(f"_a{j}").eqNullSafe(F.col(f"_b{j}")))
-    pairs = hits.select(*(F.col(f"_a{j}").alias(c) for j, c in enumerate(group)), F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
-    return pairs.where(F.expr("levenshtein(key_a, key_b, 2)").between(1, allowed_edits(F.least(F.length("key_a"), F.length("key_b")))))
+@lru_cache(200_000)
+def _word(coded: str) -> Word:
+    """A word, its count and the given names it stands for."""
+    w, n, given = coded.split(":")
+    return w, int(n), frozenset(given.split("|")) if given else frozenset()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each component. ``nodes`` has node, ``edges`` has a and b.
+def _rivals(a: Word, b: Word) -> bool:
+    """Whether two unequal words are both so common that neither is the other misspelt."""
+    few, many = sorted((a[1], b[1]))
+    return few >= SEEN_OFTEN and many < TYPO_RATIO * few
 
-    Labels fall to the smallest of a node's neighbours and jump along their pointers; each round is written to
-    the shared folder, and the rounds end when no label changes.
-    """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    # only linked nodes take part in the rounds
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("label").alias("far"))
-        step = stored(step.join(jump, F.col("next") == F.col("_n"), "left").select("node", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
-            break
-    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
+_VOWELS = frozenset("aeiouy")
 
-_KEY = ["book_id", "kind", "block"]
+
+def _within(short: str, word: str) -> bool:
+    it = iter(word)
+    return all(c in it for c in short)
+
+
+@lru_cache(500_000)
+def word_fit(x: str, y: str) -> tuple[int, int, bool] | None:
+    """How far two words are apart (cost, edits), and whether neither shortens the other; None if they are different words."""
+    a, b = _word(x), _word(y)
+    if a[0] == b[0]:
+        return 0, 0, True
+    if a[2] & b[2]:
+        return 0, 0, a[2] == b[2]  # a short form of several names joins one of them only
+    short, long = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    s, t = short[0], long[0]
+    if len(s) == 1:
+        return (1, 0, False) if t[0] == s or any(g[0] == s for g in long[2]) else None
+    if a[2] and b[2]:
+        return None  # two given names
+    most = 2 if len(s) >= 7 else 1 if len(s) >= 4 else 0
+    if most and not _rivals(a, b) and (d := osa(s, t, most)) <= most:
+        return d, d, True
+    if t.startswith(s):
+        return 1, 0, False
+    full = t[:-3] + "y" if t.endswith("ies") else t
+    if s[0] == t[0] and sum(c in _VOWELS for c in s[1:]) <= max(1, len(s) // 4) and (_within(s, t) or _within(s, full)):
+        return 2, 0, False
+    if len(s) >= 4 and s[-1] in _VOWELS and t.startswith(s[:-1]):
+        return 2, 0, False
+    if len(s) >= 4 and osa(s, t[: len(s)], 1) <= 1:
+        return 4, 1, False
+    return None
 
 
-def entities(names: DataFrame) -> DataFrame:
+@lru_cache(500_000)
+def rest_fit(x: str, y: str) -> tuple[int, int, int] | None:
+    """(cost, edits, way) of two rests: way 0 if they are the same words, 1 if the first is the shortened one, 2 if the second is."""
+    a, b = x.split(), y.split()
+    if not a or not b:
+        return (0, 0, 0) if not a and not b else None
+    cost = edits = 0
+    same = len(a) == len(b)
+    for v, w in zip(a, b):
+        if (fit := word_fit(v, w)) is None:
+            return None
+        cost, edits, same = cost + fit[0], edits + fit[1], same and fit[2]
+    if same:
+        return cost, edits, 0
+    letters = lambda ws: sum(len(w.split(":", 1)[0]) for w in ws)
+    way = 1 if (len(a), letters(a)) < (len(b), letters(b)) else 2
+    return cost + 2 * abs(len(a) - len(b)), edits, way
+
+
+def _fit_column(*columns: str) -> Column:
+    """code: cost * 4 + way + 1 of two readings, 0 if they are different payees."""
+
+    def one(sx: str, rx: str, sy: str, ry: str) -> int:
+        both = 0
+        if sx != sy:
+            stem = word_fit(sx, sy)
+            if stem is None or not stem[2]:
+                return 0
+            both = stem[1]
+        fit = rest_fit(rx, ry)
+        if fit is None or both and fit[1] and both + fit[1] > 2:
+            return 0
+        return (fit[0] + both) * 4 + fit[2] + 1
+
+    def fit(a: pd.Series, ra: pd.Series, b: pd.Series, rb: pd.Series) -> pd.Series:
+        return pd.Series([one(*z) for z in zip(a, ra, b, rb)], dtype="int32")
+
+    return F.pandas_udf(fit, "int")(*columns)
+
+
+def _readings(parsed: DataFrame, nicknames: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """book_id, form, stem, rest, letters: each form under each of its possible stems; words carry their counts and given names."""
+    several = parsed.select("book_id", "form", "words").distinct()
+    each = several.select("book_id", "form", F.posexplode("words").alias("pos", "w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("n"))
+    given = nicknames.groupBy(F.col("word").alias("w")).agg(F.concat_ws("|", F.array_sort(F.collect_set("given"))).alias("given"))
+    weighed = stored(counts.join(given, "w", "left").select("w", "n", F.coalesce("given", F.lit("")).alias("given")), "words")
+    coded = F.concat_ws(":", "w", F.col("n").cast("string"), "given")
+    told = each.join(weighed, "w").select("book_id", "form", F.struct("pos", "w", "n", "given", coded.alias("coded")).alias("x"))
+    told = told.groupBy("book_id", "form").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    long = F.filter("x", lambda x: F.length(x["w"]) > 1)
+    rare = F.array_min(F.transform(long, lambda x: x["n"]))
+    stems = F.filter(long, lambda x: x["n"] <= rare * STEM_RATIO)
+    # of a form of one word it is the stem, with an empty rest
+    every = told.select("book_id", "form", "x", F.explode(stems).alias("_s"))
+    cols = ["book_id", "form", F.col("_s.w").alias("s"), F.col("_s.coded").alias("stem"), F.filter("x", lambda x: x["pos"] != F.col("_s.pos")).alias("r")]
+    whole = stored(every.select(*cols), "readings")
+
+    # a form of one word, cut where a stem of its book begins or ends
+    single = parsed.where("size(words) = 1").select("book_id", "form").distinct().where("length(form) >= 6")
+    cuts = single.select("book_id", "form", F.explode(F.sequence(F.lit(3), F.length("form") - 2)).alias("at"))
+    cuts = cuts.unionByName(cuts.withColumn("at", -F.col("at")))
+    head = F.expr("if(at > 0, substring(form, 1, at), substring(form, length(form) + at + 1))")
+    tail = F.expr("if(at > 0, substring(form, at + 1), substring(form, 1, length(form) + at))")
+    known = whole.where("size(r) > 0").select(F.col("book_id").alias("_b"), "s", "stem").distinct()
+    cut = cuts.select("book_id", "form", head.alias("s"), tail.alias("w")).join(known, "s").where(F.col("book_id").eqNullSafe(F.col("_b"))).drop("_b")
+    cut = cut.join(weighed, "w", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("given", F.coalesce("given", F.lit("")))
+    cut = cut.select("book_id", "form", "s", "stem", F.array(F.struct(F.lit(0).alias("pos"), "w", "n", "given", coded.alias("coded"))).alias("r"))
+    out = whole.unionByName(cut)
+    used += [weighed, whole]
+    first = F.get("r", F.lit(0))
+    # a rest meets another under a common letter: the first two of its first word (an edit can harm one of them) and those of the given names
+    letters = F.concat(F.array(F.substring(first["w"], 1, 1), F.when(F.length(first["w"]) > 3, F.substring(first["w"], 2, 1))), F.transform(F.split(first["given"], r"\|"), lambda g: F.substring(g, 1, 1)))
+    letters = F.when(F.size("r") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.filter(letters, lambda c: c.isNotNull() & (c != ""))))
+    return out.select("book_id", "form", "s", "stem", F.array_join(F.col("r.coded"), " ").alias("rest"), letters.alias("letters"))
+
+
+def entities(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     """book_id, name, entity, n_links for each different name of a book; entity is null where nothing could be read.
 
-    ``names`` has book_id and name. n_links counts the other spellings of the entity.
+    ``names`` has book_id and name; ``nicknames`` has word and given (a given name is a word of its own). n_links counts the other spellings of the entity.
     """
     every = names.select("book_id", "name").where("name is not null and name <> ''").distinct()
-    keys = stored(keyed(every), "keys")
-    node = lambda *c: F.md5(F.concat_ws("\u001f", *(F.coalesce(F.col(x).cast("string"), F.lit("\u0000")) for x in c)))
-    solid = keys.where("kind <> 'I'").withColumn("node", node(*_KEY, "key"))
-    pairs = edit_join(solid, _KEY)
-    edges = pairs.select(node(*_KEY, "key_a").alias("a"), node(*_KEY, "key_b").alias("b"))
-    # a name with several keys ties them together
-    several = solid.groupBy("book_id", "name").agg(F.min("node").alias("a"), F.collect_set("node").alias("n")).where(F.size("n") > 1)
-    ties = several.select("a", F.explode("n").alias("b")).where("a <> b")
-    labels = components(solid, edges.unionByName(ties))
-    placed = stored(solid.join(labels, "node").select("book_id", "name", "kind", "block", "key", "label"), "placed")
-    whole = placed.groupBy("book_id", "name").agg(F.min("label").alias("entity"))
-
-    # initials: the one given name with this initial and surname
-    short = keys.where("kind = 'I'").select("book_id", "name", "block", "key")
-    full = placed.where("kind = 'P'").select("book_id", F.substring("block", 1, 1).alias("block"), "key", "label").distinct()
-    sides = short.select("book_id", "block", "key").unionByName(full.select("book_id", "block", "key")).distinct()
-    close = edit_join(sides, ["book_id", "block"])
-    close = close.unionByName(close.select("book_id", "block", F.col("key_b").alias("key_a"), F.col("key_a").alias("key_b"))).withColumn("d", F.expr("levenshtein(key_a, key_b)"))
-    close = close.unionByName(sides.select("book_id", "block", F.col("key").alias("key_a"), F.col("key").alias("key_b"), F.lit(0).alias("d")))
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    hit = close.join(full.select(F.col("book_id").alias("_b"), F.col("block").alias("_i"), F.col("key").alias("key_b"), "label"), ["key_b"]).where(same("book_id", "_b") & same("block", "_i"))
-    hit = hit.groupBy("book_id", "block", "key_a", "label").agg(F.min("d").alias("d"))
-    near = hit.groupBy("book_id", "block", "key_a").agg(F.min("d").alias("least"), F.min_by("label", F.struct("d", "label")).alias("label"), F.count("*").alias("n"), F.sum(F.when(F.col("d") == 0, 1).otherwise(0)).alias("exact"))
-    near = near.where("n = 1 or exact = 1").select(F.col("book_id").alias("_b"), F.col("block").alias("_i"), F.col("key_a").alias("_k"), "label")
-    # without a full name, the initial forms of one surname go together
-    joined = short.join(near, same("book_id", "_b") & same("block", "_i") & same("key", "_k"), "left")
-    by_initial = joined.select("book_id", "name", F.coalesce("label", node("book_id", "block", "key")).alias("entity"))
-    out = whole.unionByName(by_initial)
-    sizes = out.groupBy("entity").agg(F.count("*").alias("_n"))
-    return out.join(sizes, "entity").select("book_id", "name", "entity", (F.col("_n") - 1).alias("n_links"))
+    parsed = stored(forms(every).withColumn("form", F.array_join("words", " ")), "forms")
+    used: list[DataFrame] = []
+    read = stored(_readings(parsed.where("form <> ''"), default_nicknames(names) if nicknames is None else nicknames, used), "readings")
+    forget(*used)
+    node = lambda form: F.concat_ws("\u001f", F.coalesce(F.col("book_id").cast("string"), F.lit("\u0000")), F.col(form))
+
+    stems = edit_join(read.select("book_id", "s"), ["book_id"], "s", swaps=True)
+    placed = read.withColumn("node", node("form"))
+    side = lambda p: placed.select(*(F.col(c).alias(p + c) for c in ("book_id", "node", "s", "stem", "rest", "letters")), F.explode("letters").alias("letter"))
+    a, b = side("a_").withColumnRenamed("letter", "a_letter"), side("b_").withColumnRenamed("letter", "b_letter")
+    once = F.array_min(F.array_intersect("a_letters", "b_letters")) == F.col("a_letter")
+    met = (F.col("a_letter") == F.col("b_letter")) & F.col("a_book_id").eqNullSafe(F.col("b_book_id"))
+    cols = ["a_node", "a_stem", "a_rest", "b_node", "b_stem", "b_rest"]
+    own = a.join(b, met & (F.col("a_s") == F.col("b_s"))).where(once & (F.col("a_node") < F.col("b_node"))).select(*cols)
+    near = stems.select(F.col("book_id").alias("_b"), F.col("key_a").alias("_s"), F.col("key_b").alias("_t"))
+    widened = a.join(near, (F.col("a_s") == F.col("_s")) & F.col("a_book_id").eqNullSafe(F.col("_b"))).drop("_b", "_s")
+    other = widened.join(b, met & (F.col("_t") == F.col("b_s"))).where(once & (F.col("a_node") != F.col("b_node"))).select(*cols)
+    fits = own.unionByName(other).withColumn("code", _fit_column("a_stem", "a_rest", "b_stem", "b_rest")).where("code > 0")
+    fits = fits.select("a_node", "b_node", F.expr("code div 4").cast("int").alias("cost"), (F.col("code") % 4 - 1).alias("way"))
+
+    # forms of one word against all letters of the other forms of the book
+    glued = parsed.where("form <> ''").select("book_id", "form", F.size("words").alias("n"), F.explode("glued").alias("s")).distinct()
+    single = glued.where("n = 1 and length(s) >= 6").select("book_id", "s").distinct()
+    close = segment_join(glued.where("n > 1").select("book_id", "s").distinct(), single, ["book_id"])
+    equal = single.select("book_id", F.col("s").alias("a"), F.col("s").alias("b"), F.lit(0).alias("d"))
+    owner = glued.where("n > 1").select(F.col("book_id").alias("_b"), F.col("s").alias("a"), F.col("form").alias("_f"))
+    whole = close.unionByName(equal).join(owner, "a").where(F.col("book_id").eqNullSafe(F.col("_b")))
+    whole = whole.select(node("b").alias("a_node"), node("_f").alias("b_node"), F.col("d").cast("int").alias("cost"), F.lit(1).alias("way"))
+    links = stored(fits.unionByName(whole).where("a_node <> b_node"), "links")
+
+    # the same words spelt otherwise are one entity; a shortened form joins the one entity that fits best
+    solid = components(links.where("way = 0").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    label = lambda df, c: df.join(solid.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(c, F.coalesce(f"{c}_label", c)).drop(f"{c}_label")
+    short = links.where("way > 0").select(F.expr("if(way = 1, a_node, b_node)").alias("short"), F.expr("if(way = 1, b_node, a_node)").alias("full"), "cost")
+    short = label(label(short, "short"), "full").where("short <> full").groupBy("short", "full").agg(F.min("cost").alias("cost"))
+    short = stored(short, "shortened")
+    ends = short.select("full").distinct().join(short.select(F.col("short").alias("full")).distinct(), "full", "left_anti").withColumn("last", F.lit(0))
+    ranked = short.join(ends, "full", "left").withColumn("rank", F.struct(F.coalesce("last", F.lit(1)).alias("open"), F.col("cost").alias("cost")))
+    best = ranked.groupBy("short").agg(F.min("rank").alias("best"))
+    chosen = ranked.join(best, "short").where("rank = best").groupBy("short").agg(F.min("full").alias("full"), F.count("*").alias("n")).where("n = 1")
+    joined = components(chosen.select(F.col("short").alias("a"), F.col("full").alias("b")))
+
+    out = parsed.select("book_id", "name", F.when(F.col("form") != "", node("form")).alias("node"))
+    out = out.join(solid, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
+    out = stored(out.join(joined, "node", "left").select("book_id", "name", F.coalesce("label", "node").alias("entity")), "entities")
+    forget(parsed, read, links, solid, short, joined)
+    sizes = out.where("entity is not null").groupBy("entity").agg(F.count("*").alias("_n"))
+    return out.join(sizes, "entity", "left").select("book_id", "name", "entity", (F.coalesce("_n", F.lit(1)) - 1).alias("n_links"))
 
 
 def name_pairs(linked: DataFrame) -> DataFrame:
     """book_id, name_a < name_b: all pairs of spellings of one entity."""
-    many = linked.where("n_links > 0")
-    a = many.select("entity", "book_id", F.col("name").alias("name_a"))
-    b = many.select("entity", F.col("name").alias("name_b"))
-    return a.join(b, "entity").where("name_a < name_b").select("book_id", "name_a", "name_b")
+    many = linked.where("n_links > 0").withColumn("n", F.col("n_links") + 1)
+    return pairs_within(many, ["entity"], "name", "n", ["book_id"]).select("book_id", F.col("a").alias("name_a"), F.col("b").alias("name_b"))
 
 
 def payee_names(transactions: DataFrame, spend: DataFrame) -> DataFrame:

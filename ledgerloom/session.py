@@ -50,7 +50,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and column pruning goes on."""
     path = scratch(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` whose readers are all written themselves."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def here(condition: Column) -> Column:
