@@ -56,8 +56,8 @@ LONG_ENDINGS = ("limited", "private", "company", "brothers", "incorporated", "co
 
 #: A word may be a stem if it is at most so many times as frequent as the rarest word of its name.
 STEM_RATIO = 10
-#: Two words that both occur so often are different words unless one is ``TYPO_RATIO`` times as frequent.
-SEEN_OFTEN, TYPO_RATIO = 5, 10
+#: Two words that both occur so often, and in so large a share of all words, are different words unless one is ``TYPO_RATIO`` times as frequent.
+SEEN_OFTEN, SEEN_SHARE, TYPO_RATIO = 5, 1 / 2000, 10
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -90,6 +90,8 @@ def form_of(name: str | None) -> tuple[list[str], list[str]]:
     s = unicodedata.normalize("NFKC", name)
     s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s).lower().replace("&", " and ")
     words = re.findall(r"[^\W\d_]+", s)
+    if not words:
+        return [], []
     while len(words) > 1 and words[0] in TITLES:
         words = words[1:]
     core = [w for w in words if w not in LINKING] if len(words) > 2 else list(words)
@@ -133,7 +135,7 @@ Word = tuple[str, int, frozenset]
 
 @lru_cache(200_000)
 def _word(coded: str) -> Word:
-    """A word, its count and the given names it stands for."""
+    """A word, its count (0 if it isn't common) and the given names it stands for."""
     w, n, given = coded.split(":")
     return w, int(n), frozenset(given.split("|")) if given else frozenset()
 
@@ -141,7 +143,7 @@ def _word(coded: str) -> Word:
 def _rivals(a: Word, b: Word) -> bool:
     """Whether two unequal words are both so common that neither is the other misspelt."""
     few, many = sorted((a[1], b[1]))
-    return few >= SEEN_OFTEN and many < TYPO_RATIO * few
+    return few > 0 and many < TYPO_RATIO * few
 
 
 _VOWELS = frozenset("aeiouy")
@@ -222,21 +224,25 @@ def _fit_column(*columns: str) -> Column:
 
 
 def _readings(parsed: DataFrame, nicknames: DataFrame, used: list[DataFrame]) -> DataFrame:
-    """book_id, form, stem, rest, letters: each form under each of its possible stems; words carry their counts and given names."""
+    """book_id, form, s, stem, rest, letters, rare, initials: each form under each of its words; words carry their counts and given names.
+
+    ``rare`` words of a form are its stems. ``initials`` tells that its rest is initials only.
+    """
     several = parsed.select("book_id", "form", "words").distinct()
     each = several.select("book_id", "form", F.posexplode("words").alias("pos", "w"))
     counts = each.groupBy("w").agg(F.count("*").alias("n"))
     given = nicknames.groupBy(F.col("word").alias("w")).agg(F.concat_ws("|", F.array_sort(F.collect_set("given"))).alias("given"))
     weighed = stored(counts.join(given, "w", "left").select("w", "n", F.coalesce("given", F.lit("")).alias("given")), "words")
-    coded = F.concat_ws(":", "w", F.col("n").cast("string"), "given")
+    every_word = weighed.agg(F.sum("n")).first()[0] or 0
+    common = F.when(F.col("n") >= F.lit(max(SEEN_OFTEN, every_word * SEEN_SHARE)), F.col("n")).otherwise(0)
+    coded = F.concat_ws(":", "w", common.cast("string"), "given")
     told = each.join(weighed, "w").select("book_id", "form", F.struct("pos", "w", "n", "given", coded.alias("coded")).alias("x"))
     told = told.groupBy("book_id", "form").agg(F.array_sort(F.collect_list("x")).alias("x"))
     long = F.filter("x", lambda x: F.length(x["w"]) > 1)
     rare = F.array_min(F.transform(long, lambda x: x["n"]))
-    stems = F.filter(long, lambda x: x["n"] <= rare * STEM_RATIO)
     # of a form of one word it is the stem, with an empty rest
-    every = told.select("book_id", "form", "x", F.explode(stems).alias("_s"))
-    cols = ["book_id", "form", F.col("_s.w").alias("s"), F.col("_s.coded").alias("stem"), F.filter("x", lambda x: x["pos"] != F.col("_s.pos")).alias("r")]
+    every = told.select("book_id", "form", "x", rare.alias("rare"), F.explode(long).alias("_s"))
+    cols = ["book_id", "form", F.col("_s.w").alias("s"), F.col("_s.coded").alias("stem"), F.filter("x", lambda x: x["pos"] != F.col("_s.pos")).alias("r"), (F.col("_s.n") <= F.col("rare") * STEM_RATIO).alias("rare")]
     whole = stored(every.select(*cols), "readings")
 
     # a form of one word, cut where a stem of its book begins or ends
@@ -245,17 +251,18 @@ def _readings(parsed: DataFrame, nicknames: DataFrame, used: list[DataFrame]) ->
     cuts = cuts.unionByName(cuts.withColumn("at", -F.col("at")))
     head = F.expr("if(at > 0, substring(form, 1, at), substring(form, length(form) + at + 1))")
     tail = F.expr("if(at > 0, substring(form, at + 1), substring(form, 1, length(form) + at))")
-    known = whole.where("size(r) > 0").select(F.col("book_id").alias("_b"), "s", "stem").distinct()
+    known = whole.where("rare and size(r) > 0").select(F.col("book_id").alias("_b"), "s", "stem").distinct()
     cut = cuts.select("book_id", "form", head.alias("s"), tail.alias("w")).join(known, "s").where(F.col("book_id").eqNullSafe(F.col("_b"))).drop("_b")
     cut = cut.join(weighed, "w", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("given", F.coalesce("given", F.lit("")))
-    cut = cut.select("book_id", "form", "s", "stem", F.array(F.struct(F.lit(0).alias("pos"), "w", "n", "given", coded.alias("coded"))).alias("r"))
+    cut = cut.select("book_id", "form", "s", "stem", F.array(F.struct(F.lit(0).alias("pos"), "w", "n", "given", coded.alias("coded"))).alias("r"), F.lit(True).alias("rare"))
     out = whole.unionByName(cut)
     used += [weighed, whole]
     first = F.get("r", F.lit(0))
     # a rest meets another under a common letter: the first two of its first word (an edit can harm one of them) and those of the given names
     letters = F.concat(F.array(F.substring(first["w"], 1, 1), F.when(F.length(first["w"]) > 3, F.substring(first["w"], 2, 1))), F.transform(F.split(first["given"], r"\|"), lambda g: F.substring(g, 1, 1)))
     letters = F.when(F.size("r") == 0, F.array(F.lit(""))).otherwise(F.array_distinct(F.filter(letters, lambda c: c.isNotNull() & (c != ""))))
-    return out.select("book_id", "form", "s", "stem", F.array_join(F.col("r.coded"), " ").alias("rest"), letters.alias("letters"))
+    initials = (F.size("r") > 0) & F.forall("r", lambda x: F.length(x["w"]) == 1)
+    return out.select("book_id", "form", "s", "stem", F.array_join(F.col("r.coded"), " ").alias("rest"), letters.alias("letters"), "rare", initials.alias("initials"))
 
 
 def entities(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
@@ -270,17 +277,27 @@ def entities(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     forget(*used)
     node = lambda form: F.concat_ws("\u001f", F.coalesce(F.col("book_id").cast("string"), F.lit("\u0000")), F.col(form))
 
-    stems = edit_join(read.select("book_id", "s"), ["book_id"], "s", swaps=True)
+    stems = edit_join(read.where("rare").select("book_id", "s"), ["book_id"], "s", swaps=True)
     placed = read.withColumn("node", node("form"))
-    side = lambda p: placed.select(*(F.col(c).alias(p + c) for c in ("book_id", "node", "s", "stem", "rest", "letters")), F.explode("letters").alias("letter"))
-    a, b = side("a_").withColumnRenamed("letter", "a_letter"), side("b_").withColumnRenamed("letter", "b_letter")
+    side = lambda p: placed.select(*(F.col(c).alias(p + c) for c in ("book_id", "node", "s", "stem", "rest", "letters", "rare", "initials")), F.explode("letters").alias("letter"))
+    a, b = (side(p).withColumnRenamed("letter", f"{p}letter") for p in ("a_", "b_"))
     once = F.array_min(F.array_intersect("a_letters", "b_letters")) == F.col("a_letter")
     met = (F.col("a_letter") == F.col("b_letter")) & F.col("a_book_id").eqNullSafe(F.col("b_book_id"))
     cols = ["a_node", "a_stem", "a_rest", "b_node", "b_stem", "b_rest"]
-    own = a.join(b, met & (F.col("a_s") == F.col("b_s"))).where(once & (F.col("a_node") < F.col("b_node"))).select(*cols)
+    # stems meet their like; initials also meet a full name whose rarer word is another one
+    pair = F.col("a_rare") & F.col("b_rare") & (F.col("a_node") < F.col("b_node")) | F.col("a_initials") & ~F.col("b_rare")
+    own = a.where("a_rare").join(b, met & (F.col("a_s") == F.col("b_s"))).where(once & pair).select(*cols)
     near = stems.select(F.col("book_id").alias("_b"), F.col("key_a").alias("_s"), F.col("key_b").alias("_t"))
-    widened = a.join(near, (F.col("a_s") == F.col("_s")) & F.col("a_book_id").eqNullSafe(F.col("_b"))).drop("_b", "_s")
-    other = widened.join(b, met & (F.col("_t") == F.col("b_s"))).where(once & (F.col("a_node") != F.col("b_node"))).select(*cols)
+    widened = a.where("a_rare").join(near, (F.col("a_s") == F.col("_s")) & F.col("a_book_id").eqNullSafe(F.col("_b"))).drop("_b", "_s")
+    other = widened.join(b.where("b_rare"), met & (F.col("_t") == F.col("b_s"))).where(once & (F.col("a_node") != F.col("b_node"))).select(*cols)
+    # whole forms, their words in order of the alphabet, for names whose words are all common or the rarest of which is misspelt
+    sheets = placed.where("form like '% %' and not initials").groupBy("book_id", "node").agg(F.array_sort(F.collect_set("stem")).alias("ws")).where("size(ws) > 1")
+    sheets = sheets.select("book_id", "node", F.array_join(F.transform("ws", lambda x: F.substring_index(x, ":", 1)), "").alias("s"), F.array_join("ws", " ").alias("rest"))
+    sheet = lambda p: sheets.select(F.col("book_id").alias("_b"), F.col("s").alias(f"key_{p}"), F.col("node").alias(f"{p}_node"), F.lit("").alias(f"{p}_stem"), F.col("rest").alias(f"{p}_rest"))
+    typed = edit_join(sheets, ["book_id"], "s")
+    for p in "ab":
+        typed = typed.join(sheet(p), f"key_{p}").where(F.col("book_id").eqNullSafe(F.col("_b"))).drop("_b")
+    other = other.unionByName(typed.select(*cols))
     fits = own.unionByName(other).withColumn("code", _fit_column("a_stem", "a_rest", "b_stem", "b_rest")).where("code > 0")
     fits = fits.select("a_node", "b_node", F.expr("code div 4").cast("int").alias("cost"), (F.col("code") % 4 - 1).alias("way"))
 

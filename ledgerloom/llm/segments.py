@@ -9,8 +9,8 @@ from ledgerloom.session import forget, stored
 
 
 def allowed_edits(length: Column) -> Column:
-    """k for a string of some length: none below four letters, 1 from four, 2 from six, and one more for each ten letters beyond."""
-    return F.when(length < 4, 0).when(length < 6, 1).otherwise(2 + ((length - 6) / 10).cast("int"))
+    """k for a string of some length: none below four letters, 1 from four, 2 from six, and one more for each twenty letters beyond."""
+    return F.when(length < 4, 0).when(length < 6, 1).otherwise(2 + ((length - 6) / 20).cast("int"))
 
 
 def _cut(df: DataFrame, length: str) -> DataFrame:

@@ -3,7 +3,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import names
+from ledgerloom.llm import names, segments
 
 
 def levenshtein(a, b):
@@ -29,17 +29,30 @@ def test_segment_join_misses_no_pair(spark):
             keys.add((rng.randint(1, 2), "".join(s)))
     keys.discard((1, "")), keys.discard((2, ""))
     df = spark.createDataFrame(sorted(keys), "book_id int, key string")
-    got = {tuple(r) for r in names.edit_join(df, ["book_id"]).collect()}
+    got = {tuple(r)[:3] for r in segments.edit_join(df, ["book_id"]).collect()}
     allowed = lambda n: 2 if n >= 6 else 1 if n >= 4 else 0
     want = {(x[0], *sorted((x[1], y[1]))) for x, y in combinations(keys, 2) if x[0] == y[0] and 1 <= levenshtein(x[1], y[1]) <= allowed(min(len(x[1]), len(y[1])))}
     assert got == want and want
+    # index and probe apart, in both directions of length
+    a, b = df.where("hash(key) % 2 = 0").select("book_id", F.col("key").alias("s")), df.where("hash(key) % 2 <> 0").select("book_id", F.col("key").alias("s"))
+    left, right = ({tuple(r) for r in x.collect()} for x in (a, b))
+    apart = {(x[0], x[1], y[1]) for x in left for y in right if x[0] == y[0] and 1 <= levenshtein(x[1], y[1]) <= allowed(min(len(x[1]), len(y[1])))}
+    assert {tuple(r)[:3] for r in segments.segment_join(a, b, ["book_id"]).collect()} == apart and apart
+    swapped = spark.createDataFrame([(1, "abcd"), (1, "acbd"), (2, "bacd"), (1, "abcdef"), (1, "abdcef")], "book_id int, key string")
+    assert {tuple(r) for r in segments.edit_join(swapped, ["book_id"], swaps=True).collect()} == {(1, "abcd", "acbd", 1), (1, "abcdef", "abdcef", 2)}
 
 
 def test_components(spark):
     chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(30)] + [("x", "y")]
-    nodes = spark.createDataFrame([(f"n{i:02}",) for i in range(31)] + [("x",), ("y",), ("alone",)], "node string")
-    got = {r.node: r.label for r in names.components(nodes, spark.createDataFrame(chain, "a string, b string")).collect()}
-    assert {got[f"n{i:02}"] for i in range(31)} == {"n00"} and got["x"] == got["y"] == "x" and got["alone"] == "alone"
+    got = {r.node: r.label for r in segments.components(spark.createDataFrame(chain, "a string, b string")).collect()}
+    assert {got[f"n{i:02}"] for i in range(31)} == {"n00"} and got["x"] == got["y"] == "x" and len(got) == 33
+
+
+def test_pairs_of_split_groups(spark):
+    rows = [(g, f"{g}{i:03}", n) for g, n in (("a", 60), ("b", 3), ("c", 1)) for i in range(n)]
+    got = segments.pairs_within(spark.createDataFrame(rows, "g string, item string, n int"), ["g"], "item", "n", salt_rows=7)
+    assert {tuple(r) for r in got.collect()} == {(g, *p) for g, n in (("a", 60), ("b", 3)) for p in combinations([f"{g}{i:03}" for i in range(n)], 2)}
+    assert got.count() == 60 * 59 // 2 + 3
 
 
 SAME = [
@@ -64,7 +77,49 @@ def test_shared_initials_join_none_and_empty_tables(spark):
     assert names.entities(df.limit(0)).count() == 0
 
 
-def test_keys_of_odd_names():
-    assert names.name_keys(None) == names.name_keys("") == names.name_keys("42") == []
-    assert names.name_keys("x" * 5000)[0][0] == "G"
-    assert names.name_keys("Ébène Studio") and names.osa("ab", "ba", 2) == 1
+def test_names_in_no_list(spark):
+    """Words of random syllables with common trades and given names that no table holds: recall and precision of links, printed."""
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("bcdfghjklmnprstvz") + rng.choice("aeiou") for _ in range(n))
+    givens, trades = [part(3).capitalize() for _ in range(25)], ["Upholstery", "Ironmongers", "Glassworks", "Chandlery", "Opticals", "Saddlery"]
+    assert not {g.lower() for g in givens} & set(names.NICKNAMES)
+
+    def typo(s):
+        at = rng.randint(1, len(s) - 2)
+        return s[:at] + rng.choice(["", rng.choice("aeiourst") + s[at], s[at] * 2]) + s[at + 1 :]
+
+    rows, want = set(), set()
+    for book in range(30):
+        for _ in range(8):
+            stem = part(rng.choice([3, 4])).capitalize()
+            if rng.random() < 0.5:
+                g = rng.choice(givens)
+                group = {f"{g} {stem}", f"{stem.upper()}, {g.upper()}", f"{g[0]}. {stem}", f"{typo(g)} {stem}", f"{g} {typo(stem)}", f"Mr {g} {stem}"}
+            else:
+                t = rng.choice(trades)
+                bare = t[0] + "".join(c for c in t[1:] if c not in "aeiou")
+                group = {f"{stem} {t}", f"{stem} {t} and Sons", f"{stem} {bare}", f"{stem.lower()} {t[:4].lower()}", f"{t} {stem}", f"{typo(stem)} {t} Ltd", f"{stem}{t}"}
+            rows |= {(book, n) for n in group}
+            want |= {(book, *sorted(p)) for p in combinations(group, 2)}
+    got = {tuple(r) for r in names.name_pairs(names.entities(spark.createDataFrame(sorted(rows), "book_id long, name string"))).collect()}
+    print(f"recall {len(got & want) / len(want):.3f}, precision {len(got & want) / len(got):.3f}")
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_near_names_stay_apart_and_initials_join(spark):
+    rows = [(1, n) for n in ("Ramesh Kumar", "Rajesh Kumar", "Deepak Rao", "Deepika Rao", "Suresh Gupta", "S. Gupta", "Acme Plumbing", "Acme Plmbg", "Zorba Motors", "Zorba Bakery")]
+    got = {tuple(r)[1:] for r in names.name_pairs(names.entities(spark.createDataFrame(rows, "book_id long, name string"))).collect()}
+    assert got == {("S. Gupta", "Suresh Gupta"), ("Acme Plmbg", "Acme Plumbing")}
+
+
+def test_own_table_of_nicknames(spark):
+    own = spark.createDataFrame([("zed", "zedekiah"), ("zedekiah", "zedekiah"), ("zola", "zola")], "word string, given string")
+    df = spark.createDataFrame([(1, "Zed Omkvoro"), (1, "Zedekiah Omkvoro"), (1, "Zola Omkvoro"), (1, "Raju Omkvoro"), (1, "Rajesh Omkvoro")], "book_id long, name string")
+    assert {tuple(r)[1:] for r in names.name_pairs(names.entities(df, own)).collect()} == {("Zed Omkvoro", "Zedekiah Omkvoro"), ("Rajesh Omkvoro", "Raju Omkvoro")}
+
+
+def test_forms_of_odd_names():
+    assert names.form_of(None) == names.form_of("") == names.form_of("42") == ([], [])
+    assert names.form_of("x" * 5000)[0] == ["x" * 5000]
+    assert names.form_of("Ébène Studio")[0] == ["ébène", "studio"] and names.osa("ab", "ba", 2) == 1
+    assert names.form_of("Mr Zorba Tours & Travels (P) Ltd") == (["zorba", "tours", "travels"], ["toursandtravelszorba", "tourstravelszorba", "zorbatoursandtravels", "zorbatourstravels"])
