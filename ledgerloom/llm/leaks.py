@@ -1,212 +1,296 @@
 """Evaluation texts leaking into training text: CGK embedding, bit-sampling LSH, edit verification.
 
-Each window of ``window`` words of a document is embedded by CGK random walks (a pointer moves
-through the words by coin flips that depend on the word and the step, and the words it stands on
-are written down), so that edit distance becomes Hamming distance. A signature samples places of
-one walk's output; windows that share any signature with an item window are candidates, and
-candidates are verified by word edit distance. Equal windows share every signature, so passages
-held word for word are always found; for windows within ``max_edits`` the number of walks and
-samples sets the recall.
-
-The item side is a stated query set. It is broadcast in blocks of at most ``block_windows`` windows
-(a few MB each), and every document meets every block; documents never leave their task and no
-candidate is dropped.
-
-Defined cases: null texts and texts shorter than a window have no leak; an item shorter than a
-window cannot leak; repeated items count under each of their ids; repeated documents come out under their
-ids once; long texts are worked off in pieces of windows; empty tables give an empty result.
+A window of ``window`` words is embedded by CGK random walks: a pointer moves through the words by coin flips that depend on the word
+and the step, and the words it stands on are written down, so that edit distance becomes Hamming distance. A signature samples a run of
+places of one walk's output; a place in a document that shares a signature with an item window is a candidate, and candidates are verified by
+word edit distance. Equal windows share every signature, so passages held word for word are always found; for passages within ``max_edits`` the
+number of walks is worked out from ``target_recall`` by simulating every mixture of edits on windows of random words (``plan``).
+
+Documents are read once, whatever the number of items: a Bloom filter of the item signatures (of ``max_bits`` bits at most) drops the places that
+cannot match, all others are joined with the item signatures by equality, so a filter that is too full costs time and loses nothing. Documents'
+words become numbers in the JVM and pass through numpy without a Python step per word.
+
+The least passage that counts is the symbol of the search: windows are ``window`` words of an item rather than the whole of it, since parts of items must
+be found, and a document passage may be up to ``max_edits`` words shorter or longer.
+
+Defined cases: null texts and texts shorter than a window (less the edits) have no leak; an item shorter than a window cannot leak; repeated items
+count under each of their ids, null ids not at all; repeated documents come out under their ids once; texts of any length are
+worked off in pieces that overlap; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[^\W_]+")
-_SCHEMA = "doc_id bigint, item_id bigint, edits int, item_words array<int>"
+from ledgerloom.session import stored
 
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """window: words of a passage. max_edits: word edits allowed in it. walks, samples, places: random walks, signatures of each, and places in a signature."""
+    """window: words of a passage. max_edits: word edits allowed in it. target_recall: least recall for each mixture of that many edits."""
 
     window: int = 12
     max_edits: int = 2
-    walks: int = 6
-    samples: int = 4
-    places: int = 7
+    target_recall: float = 0.95
     seed: int = 20240601
-    block_windows: int = 200_000
-    chunk: int = 100_000
+    max_bits: int = 1 << 28
+    chunk: int = 200_000
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+EXACT = LeakConfig(max_edits=0)
 
 
-class _Symbols(dict):
-    """64-bit number of a word, the same in every process."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        self[word] = n = xxhash.xxh64_intdigest(word) | 1
-        if len(self) > 2_000_000:
-            self.clear()
-        return n
+def _walk(symbols: np.ndarray, starts: np.ndarray, coins: np.ndarray, window: int) -> Iterator[np.ndarray]:
+    """The words under the pointer of one walk, step by step; beyond the window it writes a blank (0)."""
+    at = np.zeros(len(starts), np.int64)
+    for coin in coins:
+        seen = np.where(at < window, symbols[starts + np.minimum(at, window - 1)], np.uint64(0))
+        yield seen
+        at += ((seen * coin) >> np.uint64(63)).astype(np.int64)
 
 
 class CGK:
-    """The random walks and the places of each signature."""
+    """Walks and sampled runs: ``walks`` rows of coins, and the first step of each run of ``run`` steps."""
 
-    def __init__(self, config: LeakConfig):
-        self.c = config
-        rng = np.random.default_rng(config.seed)
-        self.steps = 3 * config.window
-        self.coins = rng.integers(1, 2**63, (config.walks, self.steps), dtype=np.uint64) | np.uint64(1)
-        self.places = np.array([[np.sort(rng.choice(self.steps, config.places, replace=False)) for _ in range(config.samples)] for _ in range(config.walks)])
-        self.mix = rng.integers(1, 2**63, (config.walks, config.samples, config.places), dtype=np.uint64) | np.uint64(1)
+    def __init__(self, window: int, walks: int, run: int, firsts: tuple[int, ...], seed: int):
+        rng = np.random.default_rng(seed)
+        self.window, self.walks, self.run, self.firsts = window, walks, run, firsts
+        # coins of further walks don't change those of the first, so a plan grows without starting anew
+        draw = [rng.integers(1, 2**63, (2, firsts[-1] + run), dtype=np.uint64) | np.uint64(1) for _ in range(walks)]
+        self.coins, self.mix = [d[0] for d in draw], [d[1] for d in draw]
 
     def signatures(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each walk and sample, the signature of each window that starts at ``starts``."""
-        n, top = len(starts), np.uint64(63)
-        for w in range(self.c.walks):
-            at = np.zeros(n, np.int64)
-            sums = np.zeros((self.c.samples, n), np.uint64)
-            for j in range(self.steps):
-                inside = at < self.c.window
-                # beyond the end of its window the pointer writes a blank
-                seen = np.where(inside, symbols[starts + np.minimum(at, self.c.window - 1)], np.uint64(0))
-                for s in range(self.c.samples):
-                    k = np.searchsorted(self.places[w, s], j)
-                    if k < self.c.places and self.places[w, s, k] == j:
-                        sums[s] += (seen ^ (seen >> np.uint64(29))) * self.mix[w, s, k]
-                at += ((seen * self.coins[w, j]) >> top).astype(np.int64)
-            for s in range(self.c.samples):
-                yield w * self.c.samples + s, sums[s]
-
-
-def word_edits(a: list[int], b: list[int], most: int) -> int:
-    """Edit distance over words, or most + 1, inside a band."""
-    prev = [j if j <= most else most + 1 for j in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        now = [most + 1] * (len(b) + 1)
-        if i <= most:
-            now[0] = i
-        for j in range(max(1, i - most), min(len(b), i + most) + 1):
-            now[j] = min(prev[j - 1] + (x != b[j - 1]), prev[j] + 1, now[j - 1] + 1)
+        """For each walk and run, its number and the signature of the window at each start."""
+        for w in range(self.walks):
+            sums = [np.full(len(starts), w * 64 + r, np.uint64) for r in range(len(self.firsts))]
+            for j, seen in enumerate(_walk(symbols, starts, self.coins[w], self.window)):
+                mixed = (seen ^ (seen >> np.uint64(29))) * self.mix[w][j]
+                for r, first in enumerate(self.firsts):
+                    if first <= j < first + self.run:
+                        sums[r] = sums[r] + mixed
+            for r, s in enumerate(sums):
+                s = (s ^ (s >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+                yield w * len(self.firsts) + r, s ^ (s >> np.uint64(29))
+
+
+def edited(rng: np.random.Generator, window: int, kinds: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n windows of random words, and the same with one edit of each of ``kinds`` (s, i, d) at different places; other words follow."""
+    a, b = [], []
+    for _ in range(n):
+        x = rng.integers(1, 2**62, 2 * window).tolist()
+        y = x[:window]
+        for kind, p in zip(kinds, sorted(rng.choice(window, len(kinds), replace=False).tolist(), reverse=True)):
+            y[p : p + (kind != "i")] = [] if kind == "d" else [int(rng.integers(1, 2**62))]
+        a.append(x), b.append((y + rng.integers(1, 2**62, 2 * window).tolist())[: 2 * window])
+    return np.array(a, np.uint64), np.array(b, np.uint64)
+
+
+def recalls(cgk: CGK, mixtures: list[str], seed: int, n: int = 800) -> dict[str, float]:
+    """The share of edited windows that share a signature with their originals, for each mixture of edits."""
+    rng, out = np.random.default_rng(seed), {}
+    for kinds in mixtures:
+        a, b = edited(rng, cgk.window, kinds, n)
+        starts = np.arange(n) * a.shape[1]
+        hit = np.zeros(n, bool)
+        for (_, s), (_, t) in zip(cgk.signatures(a.ravel(), starts), cgk.signatures(b.ravel(), starts)):
+            hit |= s == t
+        out[kinds or "none"] = float(hit.mean())
+    return out
+
+
+def mixtures(max_edits: int) -> list[str]:
+    return ["".join(x) for n in range(1, max_edits + 1) for x in combinations_with_replacement("sdi", n)]
+
+
+@lru_cache(8)
+def plan(config: LeakConfig) -> CGK:
+    """The fewest walks that reach the target recall for each mixture of edits.
+
+    A walk passes half a word a step. Runs are as long as the longest stretch of words that the edits must leave unharmed takes,
+    and stand evenly over the steps in which a pointer is inside the window.
+    """
+    c = config
+    reach = 2 * c.window - 2
+    if not c.max_edits:
+        return CGK(c.window, 1, reach, (0,), c.seed)
+    run = max(3, 2 * c.window // (c.max_edits + 1))
+    firsts = tuple(dict.fromkeys(np.linspace(0, max(0, reach - run), 2 * c.max_edits).round().astype(int).tolist()))
+    for walks in range(2, 65):
+        cgk = CGK(c.window, walks, run, firsts, c.seed)
+        if min(recalls(cgk, mixtures(c.max_edits), c.seed + 1).values()) >= c.target_recall:
+            return cgk
+    raise ValueError("no number of walks reaches the target recall for so many edits in so short a window")
+
+
+def symbols(text: Column) -> Column:
+    """The words of a text (runs of letters or digits, in lower case) as 64-bit numbers."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def _flat(column: pa.ListArray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of all lists with ``pad`` blanks before, between and behind them; first place and length of each list."""
+    lengths = np.diff(column.offsets.to_numpy())
+    first = pad + np.concatenate([[0], np.cumsum(lengths + pad)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
+    flat = np.zeros(int(lengths.sum()) + pad * (len(lengths) + 1), np.uint64)
+    values = column.flatten().to_numpy().view(np.uint64)
+    # a word must not look like a blank
+    flat[np.repeat(first - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(values)) if len(lengths) else []] = np.where(values == 0, np.uint64(1), values)
+    return flat, first.astype(np.int64), lengths
+
+
+def _window_starts(first: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places where a window of ``least`` words at least begins, and the list each belongs to."""
+    n = np.maximum(0, lengths - least + 1)
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.repeat(first, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
+
+
+def _context(flat: np.ndarray, starts: np.ndarray, before: int, after: int) -> pa.Array:
+    """The words from ``before`` places before each start to ``after`` places behind it."""
+    block = flat[starts[:, None] + np.arange(-before, after)].view(np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(block.ravel()), before + after).cast(pa.list_(pa.int64()))
+
+
+def _edits(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of equal shape: the least edits that turn a into a start of b, and the length of that start."""
+    n, w = a.shape
+    width = w + most
+    prev = np.tile(np.arange(width + 1), (n, 1))
+    for i in range(1, w + 1):
+        now = np.empty_like(prev)
+        now[:, 0] = i
+        change = prev[:, :-1] + (b[:, :width] != a[:, i - 1 : i])
+        np.minimum(change, prev[:, 1:] + 1, out=change)
+        for j in range(1, width + 1):
+            now[:, j] = np.minimum(change[:, j - 1], now[:, j - 1] + 1)
         prev = now
-    return min(prev[-1], most + 1)
-
-
-class _Index:
-    """Item windows of one block, by signature."""
-
-    def __init__(self, items: list[tuple[int, list[int]]], cgk: CGK):
-        c, flat, starts, self.owner = cgk.c, [], [], []
-        self.item_of: list[int] = []
-        for n, (item, syms) in enumerate(items):
-            self.item_of += [n] * max(0, len(syms) - c.window + 1)
-            for k in range(len(syms) - c.window + 1):
-                starts.append(len(flat) + k)
-                self.owner.append((item, k))
-            flat += syms
-        self.flat, self.starts = np.array(flat or [0], np.uint64), np.array(starts, np.int64)
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, sigs in cgk.signatures(self.flat, self.starts):
-            order = np.argsort(sigs, kind="stable")
-            hit = np.zeros(1 << 20, bool)
-            hit[(sigs >> np.uint64(44)).astype(np.int64)] = True
-            self.tables[t] = (sigs[order], order, hit)
-
-
-def _search(batches: Iterator[pd.DataFrame], items: list[tuple[int, list[int]]], cgk: CGK) -> Iterator[pd.DataFrame]:
-    c, index, symbols = cgk.c, _Index(items, cgk), _Symbols()
-    size = len(index.starts)
-    for pdf in batches:
-        out = []
-        flat: list[int] = []
-        starts: list[np.ndarray] = []
-        owners: list[tuple[int, int]] = []  # document, windows
-
-        def flush() -> None:
-            if not owners:
-                return
-            syms, begins = np.array(flat, np.uint64), np.concatenate(starts)
-            doc_of = np.repeat(np.arange(len(owners)), [n for _, n in owners])
-            found: set[int] = set()
-            for t, sigs in cgk.signatures(syms, begins):
-                keys, order, hit = index.tables[t]
-                maybe = np.nonzero(hit[(sigs >> np.uint64(44)).astype(np.int64)])[0]
-                left, right = np.searchsorted(keys, sigs[maybe], "left"), np.searchsorted(keys, sigs[maybe], "right")
-                for i, lo, hi in zip(maybe[right > left].tolist(), left[right > left].tolist(), right[right > left].tolist()):
-                    found.update(i * size + k for k in order[lo:hi].tolist())
-            best: dict[tuple[int, int], tuple[int, set[int]]] = {}
-            seen, todo = set(found), list(found)
-            while todo:
-                i, k = divmod(todo.pop(), size)
-                a = flat[begins[i] : begins[i] + c.window]
-                b = index.flat[index.starts[k] : index.starts[k] + c.window].tolist()
-                e = 0 if a == b else word_edits(a, b, c.max_edits)
-                if e > c.max_edits:
-                    continue
-                item, place = index.owner[k]
-                key = (owners[doc_of[i]][0], item)
-                least, held = best.get(key, (e, set()))
-                held.update(range(place, place + c.window))
-                best[key] = (min(least, e), held)
-                # the windows beside a verified pair, inside the same piece and item
-                for x, y in ((i - 1, k - 1), (i + 1, k + 1), (i - 1, k), (i + 1, k), (i, k - 1), (i, k + 1)):
-                    if 0 <= x < len(begins) and 0 <= y < size and doc_of[x] == doc_of[i] and index.item_of[y] == index.item_of[k] and x * size + y not in seen:
-                        seen.add(x * size + y)
-                        todo.append(x * size + y)
-            out.extend((d, item, e, sorted(held)) for (d, item), (e, held) in best.items())
-            flat.clear(), starts.clear(), owners.clear()
-
-        for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-            syms = [symbols[w] for w in words(text)]
-            for lo in range(0, len(syms) - c.window + 1, c.chunk):
-                part = syms[lo : lo + c.chunk + 3 * c.window]  # pieces overlap, so a passage between two is seen by both
-                starts.append(np.arange(len(part) - c.window + 1) + len(flat))
-                owners.append((doc, len(part) - c.window + 1))
-                flat.extend(part)
-                if len(flat) >= c.chunk:
-                    flush()
-        flush()
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "edits", "item_words"])
-
-
-def _blocks(items: DataFrame, config: LeakConfig) -> Iterator[list[tuple[int, list[int]]]]:
-    """The query set, streamed to the driver in blocks of bounded size."""
-    symbols, block, held = _Symbols(), [], 0
-    for row in items.select("item_id", "text").distinct().toLocalIterator():
-        syms = [symbols[w] for w in words(row["text"])]
-        n = len(syms) - config.window + 1
-        if row["item_id"] is None or n < 1:
-            continue
-        block.append((row["item_id"], syms))
-        held += n
-        if held >= config.block_windows:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+    tail = prev[:, w - most :]
+    # of equal starts the one of the window's own length, then the shorter one
+    rank = tail * 100 + np.abs(np.arange(w - most, width + 1) - w)
+    best = rank.argmin(1)
+    return tail[np.arange(n), best], best + w - most
+
+
+_HIT = "doc_id bigint, item_id bigint, edits int, low int, high int"
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, config: LeakConfig = LeakConfig()) -> DataFrame:
     """doc_id, item_id, edits (of the best passage), leaked_words (words of the item inside matched passages)."""
-    cgk, found = CGK(config), None
-    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    for block in _blocks(items, config):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        part = texts.mapInPandas(lambda it, sent=sent: _search(it, sent.value, cgk), _SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], _SCHEMA)
-    return found.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.size(F.array_distinct(F.flatten(F.collect_list("item_words")))).alias("leaked_words"))
+    c, cgk = config, plan(config)
+    # blanks enough for a window with its edits on both sides
+    pad = c.window + c.max_edits
+    before, after = pad, 2 * pad
+    words = after + before
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, first, lengths = _flat(batch.column("syms"), after)
+            starts, owner = _window_starts(first, lengths, c.window)
+            ids, place = batch.column("item_id").to_numpy(), starts - first[owner]
+            context = _context(flat, starts, before, after)
+            for t, sig in cgk.signatures(flat, starts):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), t, np.int32)), pa.array(sig.view(np.int64)), pa.array(ids[owner]), pa.array(place.astype(np.int32)), context], ["t", "sig", "item_id", "place", "item_words"])
+
+    asked = items.where("item_id is not null and text is not null").select("item_id", "text").distinct().select("item_id", symbols(F.col("text")).alias("syms"))
+    index = stored(asked.mapInArrow(item_windows, "t int, sig bigint, item_id bigint, place int, item_words array<bigint>"), "item-windows")
+    bits = 1 << 16
+    while bits < min(c.max_bits, 32 * index.count()):
+        bits *= 2
+    filled = docs.sparkSession.sparkContext.broadcast(_bloom(index, bits))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bloom = filled.value
+        for batch in batches:
+            for lo, part in _pieces(batch, c.chunk, pad):
+                flat, first, lengths = _flat(part.column("syms"), after)
+                starts, owner = _window_starts(first, lengths, c.window - c.max_edits)
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                for t, sig in cgk.signatures(flat, starts):
+                    maybe = np.nonzero(_in_bloom(bloom, sig))[0]
+                    if len(maybe):
+                        context = _context(flat, starts[maybe], before, after)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(maybe), t, np.int32)), pa.array(sig[maybe].view(np.int64)), pa.array(ids[owner[maybe]]), context], ["t", "sig", "doc_id", "doc_words"])
+
+    read = docs.where("doc_id is not null and text is not null").select("doc_id", symbols(F.col("text")).alias("syms")).where(F.size("syms") >= c.window - c.max_edits)
+    found = read.mapInArrow(candidates, "t int, sig bigint, doc_id bigint, doc_words array<bigint>").join(index, ["t", "sig"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, i = (batch.column(x).flatten().to_numpy().reshape(-1, words) for x in ("doc_words", "item_words"))
+            edits, length = _edits(i[:, before : before + c.window], d[:, before:], c.max_edits)
+            near = edits <= c.max_edits
+            # words that go on equal before and behind the passage have leaked too
+            left = np.cumprod((d[:, before - 1 :: -1] == i[:, before - 1 :: -1]) & (i[:, before - 1 :: -1] != 0), 1).sum(1)
+            after_doc = np.minimum(before + length[:, None] + np.arange(pad), words - 1)
+            own = i[:, before + c.window : before + c.window + pad]
+            right = np.cumprod((np.take_along_axis(d, after_doc, 1) == own) & (own != 0), 1).sum(1)
+            place = batch.column("place").to_numpy()
+            cols = [batch.column("doc_id").to_numpy(), batch.column("item_id").to_numpy(), edits.astype(np.int32), (place - left).astype(np.int32), (place + c.window + right).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in cols], ["doc_id", "item_id", "edits", "low", "high"])
+
+    hits = found.mapInArrow(verify, _HIT)
+    pairs = hits.groupBy("doc_id", "item_id", "low").agg(F.min("edits").alias("edits"), F.max("high").alias("high"))
+    spans = pairs.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto"))
+    joined = F.aggregate("spans", start, lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["high"] - F.greatest(acc["upto"], x["low"]))).alias("n"), F.greatest(acc["upto"], x["high"]).alias("upto")))
+    return spans.select("doc_id", "item_id", "edits", joined["n"].alias("leaked_words"))
+
+
+def _pieces(batch: pa.RecordBatch, most: int, overlap: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of a batch of about ``most`` words each; a longer text is cut in pieces that overlap, so each window with its context is in one of them."""
+    lengths = np.diff(batch.column("syms").offsets.to_numpy())
+    at = 0
+    while at < len(lengths):
+        if lengths[at] > most:
+            row = batch.slice(at, 1)
+            values, doc = row.column("syms").flatten(), row.column("doc_id")
+            for lo in range(0, int(lengths[at]), most):
+                part = values.slice(max(0, lo - overlap), most + 4 * overlap)
+                yield lo, pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], ["doc_id", "syms"])
+            at += 1
+            continue
+        upto = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), most, "right")))
+        long = np.nonzero(lengths[at:upto] > most)[0]
+        upto = at + int(long[0]) if len(long) else upto
+        yield 0, batch.slice(at, upto - at)
+        at = upto
+
+
+def _bloom_places(sig: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """Four places of each signature in a filter of ``bits`` (a power of two)."""
+    a, b = sig & np.uint64(0xFFFFFFFF), (sig >> np.uint64(32)) | np.uint64(1)
+    for k in range(4):
+        yield ((a + np.uint64(k) * b) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _in_bloom(bloom: np.ndarray, sig: np.ndarray) -> np.ndarray:
+    out = np.ones(len(sig), bool)
+    for at in _bloom_places(sig, len(bloom) * 8):
+        out &= (bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def _bloom(index: DataFrame, bits: int) -> np.ndarray:
+    """The Bloom filter of all item signatures: one filter of bits / 8 bytes for each of at most eight tasks, united one by one."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            for at in _bloom_places(batch.column("sig").to_numpy().view(np.uint64), bits):
+                own[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["own"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    for row in index.select("sig").coalesce(8).mapInArrow(fill, "own binary").toLocalIterator():
+        out |= np.frombuffer(row["own"], np.uint8)
+    return out

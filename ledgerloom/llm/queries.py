@@ -60,7 +60,7 @@ def p6_payments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("edits = 0").select("doc_id", "item_id")
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), leaks.EXACT).select("doc_id", "item_id")
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
