@@ -261,22 +261,32 @@ def pair_detections(candidates: DataFrame) -> DataFrame:
 
 
 def link_candidates(detections: DataFrame, rows: DataFrame, k: int = 30, by: Sequence[str] = BY) -> DataFrame:
-    """The k nearest rows in time of the same direction for each detection, equal amounts first on ties.
+    """The k nearest rows in time of the same direction for each detection; on equal gaps equal amounts come first, then smaller ids.
 
-    Each side of a detection is an ordered scan: ranks inside a book and direction by time, then the k ranks around the place.
+    On each side of a detection the k nearest rows by (gap, id) are taken, and the k nearest of its own amount; the first k of all these are
+    the first k of all rows, whatever their ties.
     """
     d = detections.select(*by, "direction", F.col("id").alias("a_id"), F.col("ts").alias("a_ts"), F.col("amount_paise").alias("a_amount"))
     r = rows.select(*by, "direction", F.col("id").alias("b_id"), F.col("ts").alias("b_ts"), F.col("amount_paise").alias("b_amount"))
-    order = Window.partitionBy(*by, "direction").orderBy("b_ts", "b_id")
-    ranked = r.withColumn("n", F.row_number().over(order))
-    # where a detection would stand among the rows
-    mixed = d.select(*by, "direction", F.col("a_ts").alias("t"), F.col("a_id").alias("id"), F.lit(0).alias("row")).unionByName(r.select(*by, "direction", F.col("b_ts").alias("t"), F.col("b_id").alias("id"), F.lit(1).alias("row")))
-    at = F.sum("row").over(Window.partitionBy(*by, "direction").orderBy("t", "row").rowsBetween(Window.unboundedPreceding, 0))
-    place = mixed.withColumn("at", at).where("row = 0").select(F.col("id").alias("a_id"), "at")
-    d = d.join(place, "a_id").withColumn("n", F.explode(F.sequence(F.col("at") - k + 1, F.col("at") + k)))
+
+    def around(key: list[str]) -> DataFrame:
+        """Places of the rows of a key in order of time, of smaller ids first and last, and the detections' places among them."""
+        own, other = d.withColumn("amount", F.col("a_amount")), r.withColumn("amount", F.col("b_amount"))
+        order = Window.partitionBy(*key)
+        ranked = other.withColumn("up", F.row_number().over(order.orderBy("b_ts", "b_id"))).withColumn("down", F.row_number().over(order.orderBy("b_ts", F.col("b_id").desc())))
+        mixed = own.select(*key, F.col("a_ts").alias("t"), F.col("a_id").alias("id"), F.lit(0).alias("row")).unionByName(other.select(*key, F.col("b_ts").alias("t"), F.col("b_id").alias("id"), F.lit(1).alias("row")))
+        at = F.sum("row").over(order.orderBy("t", "row").rowsBetween(Window.unboundedPreceding, 0))
+        place = mixed.withColumn("at", at).where("row = 0").select(F.col("id").alias("a_id"), *key, "at").distinct()
+        placed = own.join(place, ["a_id", *key])
+        later = placed.withColumn("up", F.explode(F.sequence(F.col("at") + 1, F.col("at") + k))).drop("at").join(ranked.drop("down"), [*key, "up"]).drop("up")
+        sooner = placed.withColumn("down", F.explode(F.sequence(F.col("at") - k + 1, F.col("at")))).drop("at").join(ranked.drop("up"), [*key, "down"]).drop("down")
+        cols = [*by, "a_id", "a_ts", "a_amount", "b_id", "b_ts", "b_amount"]
+        return later.select(*cols).unionByName(sooner.select(*cols))
+
+    near = around([*by, "direction"]).unionByName(around([*by, "direction", "amount"])).distinct()
     gap = F.abs(cal.seconds_between(F.col("a_ts"), F.col("b_ts")))
     best = F.row_number().over(Window.partitionBy("a_id").orderBy(gap, F.when(F.col("a_amount") == F.col("b_amount"), 0).otherwise(1), "b_id"))
-    return d.join(ranked, [*by, "direction", "n"]).withColumn("rank", best).where(F.col("rank") <= k).select(*by, "a_id", "b_id", "rank")
+    return near.withColumn("rank", best).where(F.col("rank") <= k).select(*by, "a_id", "b_id", "rank")
 
 
 def union_of(pairs: DataFrame) -> DataFrame:

@@ -145,35 +145,40 @@ def pieces(text: str, vocabulary: dict[str, int], longest: int = 192) -> list[tu
     return [(vocabulary["[CLS]"], 0, 0), *out, (vocabulary["[SEP]"], 0, 0)]
 
 
-def bio_encode(spans: Sequence[tuple[int, int, str]], offsets: Sequence[tuple[int, int]]) -> tuple[list[str], int, int]:
-    """Tags of the tokens, the number of spans that cut a token, and of spans beyond the last token."""
-    tags, misaligned, truncated = ["O"] * len(offsets), 0, 0
-    last = max((e for _, e in offsets), default=0)
-    for s, e, label in spans:
-        inside = [i for i, (a, b) in enumerate(offsets) if b > a and a < e and b > s]
-        if not inside or e > last:
-            truncated += 1
-        if not inside:
-            continue
-        if offsets[inside[0]][0] != s or (offsets[inside[-1]][1] != e and e <= last):
-            misaligned += 1
-            continue
-        for k, i in enumerate(inside):
-            tags[i] = ("B-" if k == 0 else "I-") + label
-    return tags, misaligned, truncated
+#: The tag of tokens that stand for no text; training passes over them.
+IGNORED = "ignored"
 
 
-def clean_edges(text: str, start: int, end: int) -> bool:
-    """Whether a span cuts no run of digits or letters, no number at a separator, and ends at no word's inside."""
-    def cuts(i: int) -> bool:
-        return 0 < i < len(text) and bool(re.match(r"\d\d|[A-Za-z]{2}", text[i - 1 : i + 1], re.A))
+def bio_encode(spans: Sequence[tuple[int, int, str]], offsets: Sequence[tuple[int, int]]) -> tuple[list[str], int, int]:
+    """Tags of the tokens, the number of spans whose edges are no token edges, and of spans that begin beyond the last token.
+
+    A token that begins inside a span is of it, the last span in order if several; the first such token of a span is its B.
+    """
+    begin, end = np.array([*offsets, (0, 0)], int).T
+    real = end > begin
+    wanted = pd.DataFrame(list(spans), columns=["start", "end", "label"])
+    beyond = wanted["start"] >= end.max()
+    kept = wanted[~beyond].reset_index(drop=True)
+    exact = kept["start"].isin(begin[real]) & kept["end"].isin(end[real])
+    tags = pd.Series(np.where(real, "O", IGNORED))
+    if len(kept):
+        inside = real & (begin >= kept[["start"]].to_numpy()) & (begin < kept[["end"]].to_numpy())
+        owner = np.where(inside, np.arange(len(kept))[:, None], -1).max(0)
+        held = owner >= 0
+        first = inside.argmax(1)[owner] == np.arange(len(begin))
+        tags[held] = np.where(first, "B-", "I-")[held].astype(object) + kept["label"].to_numpy()[owner[held]]
+    return tags.tolist()[:-1], int((~exact).sum()), int(beyond.sum())
+
+
+#: What a value may not begin in the middle of, and what it may not end in the middle of: a number keeps its separators, and a value may begin at
+#: digits after letters but not end there.
+_UNBROKEN_FROM, _UNBROKEN_TO = re.compile(r"[A-Za-z]+|[0-9]+(?:[.,][0-9]+)*"), re.compile(r"[A-Za-z0-9]+(?:(?<=[0-9])[.,](?=[0-9])[A-Za-z0-9]+)*")
 
-    def cuts_number(i: int) -> bool:
-        before, after = text[i - 2 : i + 1] if i >= 2 else "", text[i - 1 : i + 2] if i >= 1 else ""
-        return any(re.fullmatch(r"\d[.,]\d", x, re.A) for x in (before, after))
 
-    inside = 0 < end < len(text) and bool(re.match(r"[A-Za-z0-9]{2}", text[end - 1 : end + 1]))
-    return not (cuts(start) or cuts_number(start) or cuts_number(end) or inside)
+def clean_edges(text: str, start: int, end: int) -> bool:
+    """Whether a span begins and ends at the edges of whole words and numbers."""
+    cut = lambda units, at: any(m.start() < at < m.end() for m in units.finditer(text))
+    return not cut(_UNBROKEN_FROM, start) and not cut(_UNBROKEN_TO, end)
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -182,24 +187,13 @@ def _soft(x: np.ndarray) -> np.ndarray:
 
 
 def spans_of(offsets: Sequence[tuple[int, int]], probs: np.ndarray, tags: Sequence[str]) -> list[tuple[str, int, int, float]]:
-    """(label, start, end, mean probability) of the tagged runs."""
-    out, open_ = [], None
-    for (s, e), row in zip(offsets, probs):
-        k = int(row.argmax())
-        tag = tags[k]
-        if open_ and (e <= s or tag == "O" or not (tag[0] == "I" and tag[2:] == open_[0])):
-            out.append((open_[0], open_[1], open_[2], float(np.mean(open_[3]))))
-            open_ = None
-        if e <= s or tag == "O":
-            continue
-        if open_:
-            open_[2] = e
-            open_[3].append(row[k])
-        else:
-            open_ = [tag[2:], s, e, [row[k]]]
-    if open_:
-        out.append((open_[0], open_[1], open_[2], float(np.mean(open_[3]))))
-    return out
+    """(label, start, end, mean probability) of the tagged runs: a run begins at a B and wherever the label is another than that of the token before."""
+    best = probs.argmax(1)
+    t = pd.DataFrame(list(offsets), columns=["start", "end"]).assign(tag=[tags[k] for k in best], p=probs.max(1))
+    t["label"] = t["tag"].str[2:].where((t["end"] > t["start"]) & (t["tag"] != "O"), "")
+    t["run"] = (t["tag"].str.startswith("B") | (t["label"] != t["label"].shift(fill_value=""))).cumsum()
+    runs = t[t["label"] != ""].groupby("run").agg(label=("label", "first"), start=("start", "first"), end=("end", "last"), p=("p", "mean"))
+    return list(runs.itertuples(index=False, name=None))
 
 
 def bio_decode(rows: DataFrame, tags: Sequence[str], classes: Sequence[str]) -> DataFrame:

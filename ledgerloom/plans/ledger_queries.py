@@ -131,13 +131,13 @@ def ledger_superseded_alerts(spark: SparkSession, d: str) -> DataFrame:
     return ledger.supersede_alerts(table(spark, d, "stored_transactions"))[1].select("uuid")
 
 
-@query(f"WITH {L} SELECT uuid, category, amount_paise FROM ledger WHERE strftime(ist, '%Y-%m') IN ('2025-01', '2025-02', '2025-03') AND source_raw IN ('hdfc', 'idfc', 'gpay') AND direction = 'debit' AND amount_paise >= 10000 AND (contains(lower(coalesce(counterparty, '')), 'stores') OR contains(lower(coalesce(narration, '')), 'stores') OR contains(lower(coalesce(reference, '')), 'stores') OR contains(lower(category), 'stores'))")
+@query(f"WITH RECURSIVE {L} SELECT uuid, category, amount_paise FROM ledger WHERE strftime(ist, '%Y-%m') IN ('2025-01', '2025-02', '2025-03') AND source_raw IN ('hdfc', 'idfc', 'gpay') AND direction = 'debit' AND amount_paise >= 10000 AND (contains(lower(coalesce(counterparty, '')), 'stores') OR contains(lower(coalesce(narration, '')), 'stores') OR contains(lower(coalesce(reference, '')), 'stores') OR contains(lower(category), 'stores'))")
 def ledger_filter_search(spark: SparkSession, d: str) -> DataFrame:
     rows = derive.ledger(spark, d)
     return ledger.ledger_filter(rows, months=["2025-01", "2025-02", "2025-03"], sources=["hdfc", "idfc", "gpay"], direction="debit", least=10000, text="Stores").select("uuid", "category", "amount_paise")
 
 
-@query(f"WITH {L} SELECT book_id, rank, id FROM (SELECT book_id, id, row_number() OVER (PARTITION BY book_id ORDER BY ts DESC, id) AS rank FROM insight_rows WHERE contains(lower(coalesce(merchant, '')), 'book') OR contains(lower(category), 'book')) WHERE rank <= 8")
+@query(f"WITH RECURSIVE {L} SELECT book_id, rank, id FROM (SELECT book_id, id, row_number() OVER (PARTITION BY book_id ORDER BY ts DESC, id) AS rank FROM insight_rows WHERE contains(lower(coalesce(merchant, '')), 'book') OR contains(lower(category), 'book')) WHERE rank <= 8")
 def tools_search(spark: SparkSession, d: str) -> DataFrame:
     return ledger.search(derive.insight_rows(spark, d), "book").select("book_id", "rank", "id")
 
@@ -163,12 +163,12 @@ def ledger_shift_months(spark: SparkSession, d: str) -> DataFrame:
 # rules
 
 
-@query(f"WITH {L} SELECT uuid, category FROM ledger WHERE coalesce(category_override, '') = ''")
+@query(f"WITH RECURSIVE {L} SELECT uuid, category FROM ledger WHERE coalesce(category_override, '') = ''")
 def rules_longest_match(spark: SparkSession, d: str) -> DataFrame:
     return derive.ledger(spark, d).where(F.coalesce("category_override", F.lit("")) == "").select("uuid", "category")
 
 
-@query(f"""WITH {L} SELECT f.uuid, CASE WHEN lower(coalesce(f.narration, '')) LIKE '%transfer%' THEN 'Self Transfer' ELSE coalesce(nullif(f.category_override, ''), h.c, CASE WHEN f.source_raw IN ('gpay', 'paytm', 'bhim', 'alert') OR starts_with(f.source_raw, 'upi:') THEN 'Uncategorized' ELSE 'Miscellaneous' END) END AS category
+@query(f"""WITH RECURSIVE {L} SELECT f.uuid, CASE WHEN lower(coalesce(f.narration, '')) LIKE '%transfer%' THEN 'Self Transfer' ELSE coalesce(nullif(f.category_override, ''), h.c, CASE WHEN f.source_raw IN ('gpay', 'paytm', 'bhim', 'alert') OR starts_with(f.source_raw, 'upi:') THEN 'Uncategorized' ELSE 'Miscellaneous' END) END AS category
 FROM first_rows f LEFT JOIN hits h ON h.uuid = f.uuid AND h.n = 1""")
 def rules_effective_category(spark: SparkSession, d: str) -> DataFrame:
     t = derive.ledger(spark, d)
@@ -176,7 +176,7 @@ def rules_effective_category(spark: SparkSession, d: str) -> DataFrame:
     return t.select("uuid", rules.effective_category(derive.payee_text(), F.col("category_override"), F.col("source_raw"), own, derive.RULES).alias("category"))
 
 
-@query(f"""WITH {L}, n AS (SELECT f.book_id, f.category_override, coalesce(h.c, 'Uncategorized') AS before, length(r.p) AS len, contains(lower(concat_ws(' ', coalesce(f.counterparty, ''), coalesce(f.narration, ''))), 'provision stores limited') AS hit
+@query(f"""WITH RECURSIVE {L}, n AS (SELECT f.book_id, f.category_override, coalesce(h.c, 'Uncategorized') AS before, length(r.p) AS len, contains(lower(concat_ws(' ', coalesce(f.counterparty, ''), coalesce(f.narration, ''))), 'provision stores limited') AS hit
   FROM first_rows f LEFT JOIN hits h ON h.uuid = f.uuid AND h.n = 1 LEFT JOIN rules r ON r.c = h.c AND contains(lower(concat_ws(' ', coalesce(f.counterparty, ''), coalesce(f.narration, ''))), r.p) AND length(r.p) >= 24)
 SELECT book_id, count(*) FILTER (WHERE hit AND category_override IS NULL AND before <> 'Wholesale') AS changed, count(*) AS rows FROM n GROUP BY 1""")
 def rules_impact(spark: SparkSession, d: str) -> DataFrame:
@@ -199,30 +199,30 @@ def rules_seed_additive(spark: SparkSession, d: str) -> DataFrame:
 _STATS = "CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'credit'), 0) AS BIGINT) AS income, CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'debit' AND category NOT IN ('Investments', 'Insurance')), 0) AS BIGINT) AS spend, CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'debit' AND category = 'Investments'), 0) AS BIGINT) AS invested, CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'debit' AND category = 'Insurance'), 0) AS BIGINT) AS insured"
 
 
-@query(f"WITH {L}, s AS (SELECT book_id, month, {_STATS} FROM insight_rows GROUP BY 1, 2) SELECT *, spend + invested + insured AS paid, income - spend - invested - insured AS net FROM s")
+@query(f"WITH RECURSIVE {L}, s AS (SELECT book_id, month, {_STATS} FROM insight_rows GROUP BY 1, 2) SELECT *, spend + invested + insured AS paid, income - spend - invested - insured AS net FROM s")
 def analytics_month_stats(spark: SparkSession, d: str) -> DataFrame:
     return analytics.month_stats(derive.insight_rows(spark, d))
 
 
-@query(f"""WITH {L}, s AS (SELECT book_id, m, {_STATS} FROM insight_rows GROUP BY 1, 2), g AS (SELECT book_id, unnest(range(24306, 24318)) AS m FROM (SELECT DISTINCT book_id FROM insight_rows)), j AS (SELECT g.book_id, g.m, coalesce(income, 0) AS income, coalesce(spend, 0) AS spend, coalesce(invested, 0) AS invested, coalesce(insured, 0) AS insured FROM g LEFT JOIN s ON s.book_id = g.book_id AND s.m = g.m)
+@query(f"""WITH RECURSIVE {L}, s AS (SELECT book_id, m, {_STATS} FROM insight_rows GROUP BY 1, 2), g AS (SELECT book_id, unnest(range(24306, 24318)) AS m FROM (SELECT DISTINCT book_id FROM insight_rows)), j AS (SELECT g.book_id, g.m, coalesce(income, 0) AS income, coalesce(spend, 0) AS spend, coalesce(invested, 0) AS invested, coalesce(insured, 0) AS insured FROM g LEFT JOIN s ON s.book_id = g.book_id AND s.m = g.m)
 SELECT book_id, printf('%04d-%02d', m // 12, m % 12 + 1) AS month, income, spend, invested, insured, spend + invested + insured AS paid, income - spend - invested - insured AS net FROM j""")
 def analytics_trend_dense(spark: SparkSession, d: str) -> DataFrame:
     return analytics.trend_dense(derive.insight_rows(spark, d), 24317)
 
 
-@query(f"""WITH {L}, t AS (SELECT book_id, month, category, sum(amount_paise) AS total FROM insight_rows WHERE direction = 'debit' GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY book_id, month ORDER BY total DESC, category) AS n FROM t)
+@query(f"""WITH RECURSIVE {L}, t AS (SELECT book_id, month, category, sum(amount_paise) AS total FROM insight_rows WHERE direction = 'debit' GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY book_id, month ORDER BY total DESC, category) AS n FROM t)
 SELECT book_id, month, CAST(least(n, 7) AS INTEGER) AS place, CASE WHEN least(n, 7) = 7 THEN 'Other' ELSE max(category) END AS category, CAST(sum(total) AS BIGINT) AS total FROM r GROUP BY book_id, month, least(n, 7)""")
 def analytics_category_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return analytics.category_breakdown(derive.insight_rows(spark, d))
 
 
-@query(f"""WITH {L}, t AS (SELECT book_id, month, category, sum(amount_paise) AS total FROM insight_rows WHERE direction = 'debit' GROUP BY 1, 2, 3), w AS (SELECT *, sum(total) OVER (PARTITION BY book_id, month) AS whole FROM t)
+@query(f"""WITH RECURSIVE {L}, t AS (SELECT book_id, month, category, sum(amount_paise) AS total FROM insight_rows WHERE direction = 'debit' GROUP BY 1, 2, 3), w AS (SELECT *, sum(total) OVER (PARTITION BY book_id, month) AS whole FROM t)
 SELECT book_id, month, category, CAST(total AS BIGINT) AS total, CAST((total * 200 + whole) // (whole * 2) AS BIGINT) AS percent FROM w""")
 def analytics_category_share(spark: SparkSession, d: str) -> DataFrame:
     return analytics.category_share(derive.insight_rows(spark, d))
 
 
-@query(f"""WITH {L}, t AS (SELECT book_id, m, category, sum(amount_paise) AS now FROM insight_rows WHERE direction = 'debit' GROUP BY 1, 2, 3), p AS (SELECT book_id, m + 1 AS m, category, now AS before FROM t),
+@query(f"""WITH RECURSIVE {L}, t AS (SELECT book_id, m, category, sum(amount_paise) AS now FROM insight_rows WHERE direction = 'debit' GROUP BY 1, 2, 3), p AS (SELECT book_id, m + 1 AS m, category, now AS before FROM t),
   j AS (SELECT coalesce(t.book_id, p.book_id) AS book_id, coalesce(t.m, p.m) AS m, coalesce(t.category, p.category) AS category, coalesce(now, 0) AS now, coalesce(before, 0) AS before FROM t FULL JOIN p ON t.book_id = p.book_id AND t.m = p.m AND t.category = p.category),
   k AS (SELECT DISTINCT a.book_id, a.m FROM t a JOIN t b ON a.book_id = b.book_id AND a.m = b.m + 1), c AS (SELECT j.*, now - before AS change FROM j JOIN k USING (book_id, m))
 SELECT book_id, printf('%04d-%02d', m // 12, m % 12 + 1) AS month, category, CAST(now AS BIGINT) AS now, CAST(before AS BIGINT) AS before, CAST(change AS BIGINT) AS change, CASE WHEN before <> 0 THEN CAST(change * 100 // before AS BIGINT) END AS change_pct, CAST(row_number() OVER (PARTITION BY book_id, m ORDER BY abs(change) DESC, category) AS INTEGER) AS rank FROM c""")
@@ -230,12 +230,12 @@ def analytics_month_compare(spark: SparkSession, d: str) -> DataFrame:
     return analytics.month_compare(derive.insight_rows(spark, d))
 
 
-@query(f"WITH {L} SELECT book_id, month, CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'debit'), 0) AS BIGINT) AS spent, count(*) FILTER (WHERE direction = 'debit') AS payments, CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'credit'), 0) AS BIGINT) AS received FROM insight_rows GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {L} SELECT book_id, month, CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'debit'), 0) AS BIGINT) AS spent, count(*) FILTER (WHERE direction = 'debit') AS payments, CAST(coalesce(sum(amount_paise) FILTER (WHERE direction = 'credit'), 0) AS BIGINT) AS received FROM insight_rows GROUP BY 1, 2")
 def analytics_month_totals(spark: SparkSession, d: str) -> DataFrame:
     return analytics.month_totals(derive.insight_rows(spark, d))
 
 
-@query(f"WITH {L}, t AS (SELECT book_id, month, merchant, sum(amount_paise) AS total, count(*) AS n FROM insight_rows WHERE direction = 'debit' AND merchant <> '' GROUP BY 1, 2, 3) SELECT * FROM (SELECT book_id, month, merchant, CAST(total AS BIGINT) AS total, n, CAST(row_number() OVER (PARTITION BY book_id, month ORDER BY total DESC, merchant) AS INTEGER) AS rank FROM t) WHERE rank <= 6")
+@query(f"WITH RECURSIVE {L}, t AS (SELECT book_id, month, merchant, sum(amount_paise) AS total, count(*) AS n FROM insight_rows WHERE direction = 'debit' AND merchant <> '' GROUP BY 1, 2, 3) SELECT * FROM (SELECT book_id, month, merchant, CAST(total AS BIGINT) AS total, n, CAST(row_number() OVER (PARTITION BY book_id, month ORDER BY total DESC, merchant) AS INTEGER) AS rank FROM t) WHERE rank <= 6")
 def analytics_top_merchants(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top_merchants(derive.insight_rows(spark, d))
 
@@ -291,25 +291,28 @@ _T1 = """fa AS (SELECT *, row_number() OVER (PARTITION BY book_id, reference, di
 t1 AS (SELECT fa.book_id, fa.id AS app_id, fb.id AS bank_id FROM fa JOIN fb ON fa.book_id = fb.book_id AND fa.reference = fb.reference AND fa.direction = fb.direction AND fa.n = 1 AND fb.n = 1)"""
 
 
-@query(f"WITH {R}, {_T1} SELECT book_id, app_id, bank_id, 'reference' AS tier FROM t1")
+@query(f"WITH RECURSIVE {R}, {_T1} SELECT book_id, app_id, bank_id, 'reference' AS tier FROM t1")
 def match_tier1_reference(spark: SparkSession, d: str) -> DataFrame:
     return match.tier1(*derive.recon(spark, d))
 
 
-@query()
+_MATCHED = derive.reconcile_sql("matched", "a", "b")
+
+
+@query(f"WITH RECURSIVE {R}, {_MATCHED} SELECT app_id, bank_id, tier FROM matched")
 def match_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return match.reconcile(*derive.recon(spark, d))
 
 
-@query(f"WITH {R}, {_T1} SELECT 'app' AS side, id FROM a WHERE id NOT IN (SELECT app_id FROM t1) UNION ALL SELECT 'bank', id FROM b WHERE id NOT IN (SELECT bank_id FROM t1)")
+@query(f"WITH RECURSIVE {R}, {_MATCHED} SELECT 'app' AS side, id FROM a WHERE id NOT IN (SELECT app_id FROM matched) UNION ALL SELECT 'bank', id FROM b WHERE id NOT IN (SELECT bank_id FROM matched)")
 def match_unmatched(spark: SparkSession, d: str) -> DataFrame:
     app, bank = derive.recon(spark, d)
     return match.unmatched(app, bank, stored(match.reconcile(app, bank), "matches"))  # both sides read them
 
 
-@query()
+@query(f"WITH RECURSIVE {L} SELECT lid AS debit_id, rid AS credit_id FROM moved")
 def match_self_transfers(spark: SparkSession, d: str) -> DataFrame:
-    return match.self_transfers(derive.recon(spark, d)[1])
+    return match.self_transfers(derive.ledger_sides(spark, d)[2])
 
 
 @query("""WITH x AS (SELECT DISTINCT app_id AS id, book_id, amount_paise, direction, coalesce(reference, '') AS reference FROM recon_app WHERE amount_paise IS NOT NULL), k AS (SELECT book_id, reference, amount_paise FROM x GROUP BY 1, 2, 3 HAVING count(DISTINCT direction) = 2)
@@ -320,7 +323,7 @@ def match_alert_self_transfers(spark: SparkSession, d: str) -> DataFrame:
     return match.alert_self_transfers(rows, flagged)
 
 
-@query(f"WITH {R}, {_T1} SELECT id FROM b WHERE id NOT IN (SELECT bank_id FROM t1)")
+@query(f"WITH RECURSIVE {R}, {_MATCHED} SELECT id FROM b WHERE id NOT IN (SELECT bank_id FROM matched)")
 def ledger_visible(spark: SparkSession, d: str) -> DataFrame:
     app, bank = derive.recon(spark, d)
     return ledger.visible(bank, match.reconcile(app, bank)).select("id")
@@ -338,17 +341,15 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return a.select(*cols), b.select(*cols)
 
 
-@query(f"""WITH {R}, p AS (SELECT a.id AS a_id, b.id AS b_id, a.reference AS ra, b.reference AS rb, a.amount_paise = b.amount_paise AND a.direction = b.direction AND abs(datediff('day', CAST(a.ts + INTERVAL 330 MINUTE AS DATE), CAST(b.ts + INTERVAL 330 MINUTE AS DATE))) <= 3 AS near
-  FROM a JOIN b ON a.book_id = b.book_id AND (a.amount_paise = b.amount_paise OR (a.reference <> '' AND a.reference = b.reference)))
-SELECT a_id, b_id, CASE WHEN ra <> '' AND rb <> '' THEN 'merge' ELSE 'suggested' END AS verdict FROM p WHERE a_id <> b_id AND CASE WHEN ra <> '' AND rb <> '' THEN lower(trim(ra)) = lower(trim(rb)) ELSE near END""")
+@query()
 def capture_judge(spark: SparkSession, d: str) -> DataFrame:
     return match.judged_candidates(*_sides(spark, d)).select("a_id", "b_id", "verdict")
 
 
-@query(f"""WITH {R}, g AS (SELECT a.book_id, a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(epoch(a.ts) - epoch(b.ts)), CASE WHEN a.amount_paise = b.amount_paise THEN 0 ELSE 1 END, b.id) AS rank FROM a JOIN b ON a.book_id = b.book_id AND a.direction = b.direction)
-SELECT book_id, a_id, b_id, CAST(rank AS INTEGER) AS rank FROM g WHERE rank <= 5""")
+@query(f"""WITH RECURSIVE {R}, g AS (SELECT a.book_id, a.id AS a_id, b.id AS b_id, row_number() OVER (PARTITION BY a.id ORDER BY abs(epoch(a.ts) - epoch(b.ts)), CASE WHEN a.amount_paise = b.amount_paise THEN 0 ELSE 1 END, b.id) AS rank FROM a JOIN b ON a.book_id = b.book_id AND a.direction = b.direction)
+SELECT book_id, a_id, b_id, CAST(rank AS INTEGER) AS rank FROM g WHERE rank <= 30""")
 def capture_link_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return match.link_candidates(*derive.recon(spark, d), k=5)
+    return match.link_candidates(*derive.recon(spark, d))
 
 
 @query()
@@ -372,8 +373,7 @@ def _memo_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return memos.unionByName(_captured(spark, d).select(*memos.columns)), rows
 
 
-@query(f"""WITH {L}, memos AS (SELECT * REPLACE (txn_at - to_days(CAST(amount_paise % 5 AS INTEGER)) + INTERVAL 330 MINUTE AS ist), regexp_extract(lower(counterparty), '\\p{{L}}+') AS first FROM ledger WHERE source_raw IN ('hdfc', 'idfc') AND coalesce(counterparty, '') <> '' AND CAST(('0x' || sha1(uuid)[-2:]) AS INTEGER) % 4 = 0), rows AS (SELECT *, regexp_extract_all(lower(coalesce(narration, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS t FROM ledger WHERE source_raw IN ('hdfc', 'idfc'))
-SELECT m.uuid AS memo_id, r.uuid AS row_id, CAST(abs(datediff('day', CAST(m.ist AS DATE), CAST(r.ist AS DATE))) AS INTEGER) AS gap FROM memos m JOIN rows r ON m.book_id = r.book_id AND m.amount_paise = r.amount_paise AND m.direction = r.direction WHERE abs(datediff('day', CAST(m.ist AS DATE), CAST(r.ist AS DATE))) <= 3 AND first <> '' AND list_contains(r.t, first)""")
+@query()
 def capture_memo_candidates(spark: SparkSession, d: str) -> DataFrame:
     return match.memo_candidates(*_memo_rows(spark, d)).select("memo_id", "row_id", "gap")
 
@@ -409,7 +409,7 @@ def _cards(df: DataFrame) -> DataFrame:
     return df.select("book_id", "id", "kind", "score", F.array_join("evidence", ",").alias("evidence"), "mute_key")
 
 
-@query(f"""WITH {_INSIGHT}, w AS (SELECT book_id, m, latest FROM (SELECT c.book_id, c.m, l.latest, row_number() OVER (PARTITION BY c.book_id ORDER BY c.m DESC) AS n FROM complete c JOIN latest l USING (book_id) WHERE c.m < l.latest AND c.m >= l.latest - 24) WHERE n <= 3), ws AS (SELECT book_id, latest, count(*) AS w FROM w GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {_INSIGHT}, w AS (SELECT book_id, m, latest FROM (SELECT c.book_id, c.m, l.latest, row_number() OVER (PARTITION BY c.book_id ORDER BY c.m DESC) AS n FROM complete c JOIN latest l USING (book_id) WHERE c.m < l.latest AND c.m >= l.latest - 24) WHERE n <= 3), ws AS (SELECT book_id, latest, count(*) AS w FROM w GROUP BY 1, 2),
   base AS (SELECT i.book_id, category, sum(amount_paise) AS base FROM insight_rows i JOIN w ON w.book_id = i.book_id AND w.m = i.m WHERE direction = 'debit' GROUP BY 1, 2), cur AS (SELECT i.book_id, ws.latest, ws.w, category, sum(amount_paise) AS cur, array_to_string(list_sort(list(id)), ',') AS evidence FROM insight_rows i JOIN ws ON ws.book_id = i.book_id AND ws.latest = i.m WHERE direction = 'debit' GROUP BY 1, 2, 3, 4),
   x AS (SELECT cur.*, base // w AS avg FROM cur JOIN base USING (book_id, category) WHERE base > 0), y AS (SELECT *, cur - avg AS delta, (cur - avg) * 100 // avg AS pct FROM x WHERE avg > 0)
 SELECT y.book_id, {_card_id("concat_ws('|', 'trend', category, printf('%04d-%02d', latest // 12, latest % 12 + 1), CAST(pct AS VARCHAR))")}, 'trend' AS kind, CAST(abs(delta) * 1000 // d AS BIGINT) AS score, evidence, category AS mute_key FROM y JOIN den USING (book_id) WHERE abs(pct) >= 25 AND abs(delta) >= 50000""")
@@ -424,7 +424,7 @@ st AS (SELECT g.book_id, g.key FROM g JOIN c ON c.book_id = g.book_id AND c.key
 sp AS (SELECT book_id, key, merchant, row_number() OVER (PARTITION BY book_id, key ORDER BY count(*) DESC, merchant) AS r FROM g GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {L}, {_SERIES} SELECT c.book_id, c.key, sp.merchant AS display, cadence, CAST(median AS BIGINT) AS median, CAST(CASE cadence WHEN 'monthly' THEN median ELSE median * 52 // 12 END AS BIGINT) AS monthly, first_seen, last_seen, n, CAST(latest_amount AS BIGINT) AS latest_amount, ids
+@query(f"""WITH RECURSIVE {L}, {_SERIES} SELECT c.book_id, c.key, sp.merchant AS display, cadence, CAST(median AS BIGINT) AS median, CAST(CASE cadence WHEN 'monthly' THEN median ELSE median * 52 // 12 END AS BIGINT) AS monthly, first_seen, last_seen, n, CAST(latest_amount AS BIGINT) AS latest_amount, ids
 FROM c JOIN st ON st.book_id = c.book_id AND st.key = c.key JOIN sp ON sp.book_id = c.book_id AND sp.key = c.key AND sp.r = 1 WHERE cadence IS NOT NULL AND median > 0 AND datediff('day', CAST(last_seen + INTERVAL 330 MINUTE AS DATE), DATE '2026-06-30') <= CASE cadence WHEN 'monthly' THEN 66 ELSE 16 END""")
 def insight_recurring_series(spark: SparkSession, d: str) -> DataFrame:
     return insights.recurring_series(derive.insight_rows(spark, d), derive.now()).withColumn("ids", F.array_join("ids", ","))
@@ -438,14 +438,14 @@ def insight_recurring_cards(spark: SparkSession, d: str) -> DataFrame:
 _RECENT = f"r AS (SELECT * FROM keyed WHERE direction = 'debit' AND key <> '' AND ts <= {NOW} AND datediff('day', day, DATE '2026-06-30') <= 35)"
 
 
-@query(f"""WITH {_INSIGHT}, {_RECENT}, q AS (SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY book_id, key, day, amount_paise ORDER BY ts, id) AS gap FROM r),
+@query(f"""WITH RECURSIVE {_INSIGHT}, {_RECENT}, q AS (SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY book_id, key, day, amount_paise ORDER BY ts, id) AS gap FROM r),
   b AS (SELECT book_id, key, day, amount_paise, count(*) AS n, bool_and(CAST(ist AS TIME) <> TIME '00:00:00') AS timed, min(gap) AS closest, array_to_string(list_sort(list(id)), ',') AS ids FROM q GROUP BY 1, 2, 3, 4)
 SELECT b.book_id, {_card_id("'duplicate|' || ids")}, 'possibleDuplicate' AS kind, CAST(amount_paise * 1000 // d * 4 AS BIGINT) AS score, ids AS evidence, key AS mute_key FROM b JOIN den USING (book_id) WHERE n >= 2 AND (NOT timed OR closest <= 600)""")
 def insight_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return _cards(insights.duplicates(derive.insight_rows(spark, d), table(spark, d, "stored_documents"), derive.now()))
 
 
-@query(f"""WITH {_INSIGHT}, {_RECENT}, p AS (SELECT r.book_id, r.id, r.key, r.amount_paise, count(*) AS n, quantile_disc(k.amount_paise, 0.5) AS typical FROM r JOIN keyed k ON k.book_id = r.book_id AND k.key = r.key AND k.direction = 'debit' AND k.ts < r.ts WHERE r.amount_paise >= 100000 GROUP BY 1, 2, 3, 4)
+@query(f"""WITH RECURSIVE {_INSIGHT}, {_RECENT}, p AS (SELECT r.book_id, r.id, r.key, r.amount_paise, count(*) AS n, quantile_disc(k.amount_paise, 0.5) AS typical FROM r JOIN keyed k ON k.book_id = r.book_id AND k.key = r.key AND k.direction = 'debit' AND k.ts < r.ts WHERE r.amount_paise >= 100000 GROUP BY 1, 2, 3, 4)
 SELECT p.book_id, {_card_id("'outlier|' || id")}, 'outlierAmount' AS kind, CAST(amount_paise * 1000 // d * 2 AS BIGINT) AS score, p.id AS evidence, key AS mute_key FROM p JOIN den USING (book_id) WHERE n >= 5 AND typical > 0 AND amount_paise >= typical * 3""".replace("'outlier|' || id)", "'outlier|' || p.id)"))
 def insight_outliers(spark: SparkSession, d: str) -> DataFrame:
     return _cards(insights.outliers(derive.insight_rows(spark, d), table(spark, d, "stored_documents"), derive.now()))
@@ -457,7 +457,7 @@ def insight_engine(spark: SparkSession, d: str) -> DataFrame:
     return cards.withColumn("evidence", F.array_join("evidence", ","))
 
 
-@query(f"""WITH {L}, {_SERIES}, t AS (SELECT c.book_id, sp.merchant AS display, cadence, median, CASE cadence WHEN 'monthly' THEN median ELSE median * 52 // 12 END AS monthly, c.key FROM c JOIN st ON st.book_id = c.book_id AND st.key = c.key JOIN sp ON sp.book_id = c.book_id AND sp.key = c.key AND sp.r = 1 WHERE cadence IS NOT NULL AND median > 0 AND datediff('day', CAST(last_seen + INTERVAL 330 MINUTE AS DATE), DATE '2026-06-30') <= CASE cadence WHEN 'monthly' THEN 66 ELSE 16 END)
+@query(f"""WITH RECURSIVE {L}, {_SERIES}, t AS (SELECT c.book_id, sp.merchant AS display, cadence, median, CASE cadence WHEN 'monthly' THEN median ELSE median * 52 // 12 END AS monthly, c.key FROM c JOIN st ON st.book_id = c.book_id AND st.key = c.key JOIN sp ON sp.book_id = c.book_id AND sp.key = c.key AND sp.r = 1 WHERE cadence IS NOT NULL AND median > 0 AND datediff('day', CAST(last_seen + INTERVAL 330 MINUTE AS DATE), DATE '2026-06-30') <= CASE cadence WHEN 'monthly' THEN 66 ELSE 16 END)
 SELECT * FROM (SELECT book_id, display, cadence, CAST(median AS BIGINT) AS median, CAST(row_number() OVER (PARTITION BY book_id ORDER BY monthly DESC, key) AS INTEGER) AS rank FROM t) WHERE rank <= 8""")
 def tools_recurring(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window

@@ -165,7 +165,12 @@ def test_scoring_and_decoding(spark):
     assert not mlkit.clean_edges("3,13,938.00", 0, 4) and mlkit.clean_edges("INR450", 3, 6) and not mlkit.clean_edges("XX984D", 2, 5) and mlkit.clean_edges("pay 5.", 4, 5)
     assert mlkit.spans_of([(0, 1)], np.array([[1.0, 0, 0, 0, 0]]), tags) == []
     enc = mlkit.bio_encode([(3, 9, "AMOUNT"), (14, 17, "PAYEE"), (50, 60, "REF")], offsets)
-    assert enc == (["O", "O", "B-AMOUNT", "I-AMOUNT", "O", "O"], 1, 1)
+    assert enc == ([mlkit.IGNORED, "O", "B-AMOUNT", "I-AMOUNT", "O", "O"], 1, 1)
+    # a span that cuts a token is counted, and the tokens that begin inside it are its own; one that only ends beyond the last token is not cut off
+    assert mlkit.bio_encode([(4, 17, "PAYEE"), (22, 90, "REF")], offsets) == ([mlkit.IGNORED, "O", "O", "B-PAYEE", "I-PAYEE", "B-REF"], 2, 0)
+    assert mlkit.bio_encode([], offsets[:1]) == ([mlkit.IGNORED], 0, 0)
+    runs = mlkit.spans_of([(0, 2), (2, 4), (4, 4), (5, 6), (6, 7)], np.eye(5)[[1, 2, 0, 2, 1]], tags)
+    assert [r[:3] for r in runs] == [("AMOUNT", 0, 4), ("AMOUNT", 5, 6), ("AMOUNT", 6, 7)]
     vocab = {t: i for i, t in enumerate(["[UNK]", "[CLS]", "[SEP]", "pay", "##ment", "5", "."])}
     assert mlkit.pieces("Payment 5.zz", vocab) == [(1, 0, 0), (3, 0, 3), (4, 3, 7), (5, 8, 9), (6, 9, 10), (0, 10, 12), (2, 0, 0)]
     said = [("Food", {500}), ("", {900})]
@@ -234,13 +239,13 @@ def test_streams_equal_batches(spark, tmp_path):
     capture.run(capture.captures(stream), capture.append_new(out, "capture_hash"), str(tmp_path / "state"))
     want = {r.capture_hash for r in alerts.parse_alerts(t).collect()}
     got = [r.capture_hash for r in spark.read.parquet(out).collect()]
-    assert set(got) <= want and len(got) == len(set(got)) and len(got) >= 0.9 * len(want)
+    assert set(got) == want and len(got) == len(set(got))
     tx = table(spark, SMALL, "stored_transactions").select("book_id", "txn_at", "amount_paise", "direction")
     tx.write.parquet(str(tmp_path / "tx"))
     s = spark.readStream.schema(tx.schema).parquet(str(tmp_path / "tx"))
     capture.run(capture.daily_spend(s), None, str(tmp_path / "state2"), "spend")
     closed = spark.sql("select count(*) n from spend").first()["n"]
-    assert 0 < closed <= tx.count()
+    assert 0 < closed <= tx.selectExpr("book_id", "date_trunc('day', txn_at + interval 330 minutes)", "direction").distinct().count()
     now = datetime(2025, 1, 31)
     old = spark.createDataFrame([(now,), (now - timedelta(days=47),)], "received_at timestamp_ntz")
     assert capture.drop_expired(old).count() == 1
@@ -253,7 +258,7 @@ def test_late_rows_rematch_their_months(spark, tmp_path):
     spark.createDataFrame([(1, 7, t, 5, "debit", "x", "hdfc")], ROW).write.parquet(str(tmp_path / "bank"))
     late = spark.read.parquet(str(tmp_path / "bank"))
     capture.rematch(str(tmp_path / "app"), str(tmp_path / "bank"), str(tmp_path / "m"))(late, 0)
-    assert [(r.app_id, r.bank_id, str(r.month)) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [(1, 7, "2025-03-01")] or spark.read.parquet(str(tmp_path / "m")).count() == 1
+    assert [(r.app_id, r.bank_id, str(r.month)) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [(1, 7, "2025-03-01")]
     memo = spark.createDataFrame([(1, "m", 5, "debit", t, "ravi.shop@pay", "Someone"), (1, "n", 5, "debit", t, None, "Ravi Kumar"), (1, "o", 5, "debit", t, "pay@ravi", "Ravi")], "book_id long, id string, amount_paise long, direction string, ts timestamp_ntz, vpa string, payee string")
     rows = spark.createDataFrame([(1, "r", 5, "debit", t + timedelta(days=3), "UPI ravi shop pay"), (1, "s", 5, "debit", t + timedelta(days=4), "ravi shop pay")], "book_id long, id string, amount_paise long, direction string, ts timestamp_ntz, narration string")
-    assert {(r.memo_id, r.row_id) for r in match.memo_candidates(memo, rows).collect()} == {("m", "r"), ("n", "r"), ("o", "r")} - {("o", "r")} or True
+    assert {(r.memo_id, r.row_id) for r in match.memo_candidates(memo, rows).collect()} == {("m", "r"), ("n", "r"), ("o", "r")}
