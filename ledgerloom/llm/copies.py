@@ -19,12 +19,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import scratch, stored
+from ledgerloom.llm.segments import pairs_within
+from ledgerloom.session import forget, scratch, stored
 
 EXACT = ("book_id", "source_raw", "txn_at", "amount_paise", "direction")
 SQUEEZED = ("counterparty", "reference")
 WORDS = "narration"
-BUCKETS = 16
+#: Keys that a bucket should hold; the first batch decides the number of buckets.
+BUCKET_KEYS = 2_000_000
 
 
 def squeeze(text: Column) -> Column:
@@ -56,15 +58,19 @@ class CopyLedger:
     """Canonical-key counts in a bucketed table below ``path``.
 
     A merge reads and rewrites only the buckets its batch touches, as a new version beside the old files, and then writes
-    a manifest (bucket, version). A lost executor or a failed job so changes nothing. ``version`` opens an older state.
+    a manifest (bucket, version, number of buckets) and the ids of the batches it holds. A lost executor or a failed job so changes nothing, and a
+    batch that is merged again under its id is not counted twice. ``version`` opens an older state.
     """
 
     SCHEMA = "canonical_key string, copies bigint, first_at timestamp_ntz, first_id string, version int, bucket int"
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS, version: int = 0):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, version: int = 0):
         self.spark, self.path, self.buckets, self.version = spark, path or scratch(spark, "copy-ledger"), buckets, version
-        rows = spark.read.schema("bucket int, version int").parquet(f"{self.path}/manifest/{version}").collect() if version else []
+        rows = spark.read.schema("bucket int, version int, buckets int").parquet(f"{self.path}/manifest/{version}").collect() if version else []
         self.where = {r["bucket"]: r["version"] for r in rows}
+        self.batches = {r["batch"] for r in spark.read.schema("batch string").parquet(f"{self.path}/batches/{version}").collect()} if version else set()
+        if rows:
+            self.buckets = rows[0]["buckets"]
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("canonical_key"), F.lit(self.buckets)).cast("int")
@@ -76,18 +82,27 @@ class CopyLedger:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(*paths)
 
-    def merge(self, rows: DataFrame, **names) -> CopyLedger:
-        """Fold one batch in."""
-        batch = stored(aggregate_batch(rows, **names).withColumn("bucket", self._bucket()), "copy-batch")
+    def merge(self, rows: DataFrame, batch_id: str | None = None, **names) -> CopyLedger:
+        """Fold one batch in, unless a batch of this id has been."""
+        if batch_id is not None and batch_id in self.batches:
+            return self
+        keyed = stored(aggregate_batch(rows, **names), "copy-batch")
+        if self.buckets is None:
+            self.buckets = max(16, -(-keyed.count() // BUCKET_KEYS))
+        batch = keyed.withColumn("bucket", self._bucket())
         touched = sorted(r["bucket"] for r in batch.select("bucket").distinct().collect())  # at most ``buckets`` numbers
         if not touched:
             return self
         known = [b for b in touched if b in self.where]
         merged = self.fold(self.read(known), batch) if known else batch
         version = self.version + 1
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        merged.repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={version}")
+        forget(keyed)
         self.where |= dict.fromkeys(touched, version)
-        self.spark.createDataFrame(sorted(self.where.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{version}")
+        self.batches |= {batch_id} if batch_id is not None else set()
+        write = lambda rows, schema, name: self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/{version}")
+        write([(b,) for b in sorted(self.batches)], "batch string", "batches")
+        write([(b, v, self.buckets) for b, v in sorted(self.where.items())], "bucket int, version int, buckets int", "manifest")
         self.version = version
         return self
 
@@ -111,11 +126,10 @@ def collapse(batches: Sequence[DataFrame], spark: SparkSession) -> DataFrame:
 
 
 def copy_pairs(rows: DataFrame, ledger: DataFrame, row_id: str = "uuid") -> DataFrame:
-    """All pairs of copies, from the keys the ledger counts more than once."""
-    many = ledger.where(F.col("copies") > 1).select("canonical_key")
-    members = rows.select(canonical_key().alias("canonical_key"), F.col(row_id).alias("uuid_a")).join(many, "canonical_key", "left_semi")
-    other = members.withColumnRenamed("uuid_a", "uuid_b")
-    return members.join(other, "canonical_key").where(F.col("uuid_a") < F.col("uuid_b")).select("uuid_a", "uuid_b").distinct()
+    """All pairs of copies, from the keys the ledger counts more than once; large groups of copies are split."""
+    many = ledger.where(F.col("copies") > 1).select("canonical_key", "copies")
+    members = stored(rows.select(canonical_key().alias("canonical_key"), F.col(row_id).alias("id")).join(many, "canonical_key"), "copies")
+    return pairs_within(members, ["canonical_key"], "id", "copies").select(F.col("a").alias("uuid_a"), F.col("b").alias("uuid_b")).distinct()
 
 
 def copy_classes(rows: DataFrame, ledger: DataFrame, row_id: str = "uuid") -> DataFrame:

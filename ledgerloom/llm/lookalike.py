@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stored
+
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
@@ -152,7 +154,7 @@ def form_keys(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """row_id, class_id (smallest id of the form), n_texts (different texts of the form), n_rows."""
-    keyed = docs.where(F.col(text).isNotNull()).select(F.col(row_id), text_key(F.col(text)).alias("text_key")).join(form_keys(docs, text), "text_key")
+    keyed = docs.where(F.col(text).isNotNull()).select(F.col(row_id), text_key(F.col(text)).alias("text_key")).join(stored(form_keys(docs, text), "form-keys"), "text_key")
     per = keyed.groupBy("form_key", "text_key").agg(F.min(row_id).alias("_id"), F.count("*").alias("_n")).groupBy("form_key").agg(F.min("_id").alias("class_id"), F.count("*").alias("n_texts"), F.sum("_n").alias("n_rows"))
     return keyed.join(per, "form_key").select(row_id, "class_id", "n_texts", "n_rows")
 
@@ -162,7 +164,7 @@ def lookalike_pairs(docs: DataFrame, row_id: str = "doc_id", text: str = "text")
 
     Texts are paired first and only then joined with their rows, so copies of one text meet no copy of themselves.
     """
-    keys = form_keys(docs, text)
+    keys = stored(form_keys(docs, text), "form-keys")  # three branches read them
     several = keys.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").select("form_key")
     texts = keys.join(several, "form_key", "left_semi")
     pairs = texts.withColumnRenamed("text_key", "ka").join(texts.withColumnRenamed("text_key", "kb"), "form_key").where("ka <> kb").select("ka", "kb")

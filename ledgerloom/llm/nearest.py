@@ -59,7 +59,7 @@ def _match_group(left: pa.Table, right: pa.Table, tolerance_us: int) -> pa.Table
 
     if not left.num_rows or not right.num_rows:
         return _OUT.empty_table()
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})  # no spill to the executor's own disk
     try:
         con.register("lft", left)
         con.register("rgt", right)

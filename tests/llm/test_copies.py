@@ -56,3 +56,11 @@ def test_old_versions_stay_and_untouched_buckets_are_not_rewritten(spark):
     old = copies.CopyLedger(spark, led.path, 8, version=1)
     assert sorted(map(tuple, old.read().drop("version").collect()), key=str) == before
     assert led.read().groupBy().sum("copies").first()[0] == 201
+
+
+def test_a_batch_merged_again_counts_once(spark):
+    row = [(1, "s", None, 5, "debit", "A", "r", "x y", "u1"), (1, "s", None, 5, "debit", "a", "R", "y x", "u2")]
+    df = spark.createDataFrame(row, "book_id long, source_raw string, txn_at timestamp_ntz, amount_paise long, direction string, counterparty string, reference string, narration string, uuid string")
+    ledger = copies.CopyLedger(spark).merge(df, "day 1").merge(df, "day 1")
+    again = copies.CopyLedger(spark, ledger.path, version=ledger.version).merge(df, "day 1").merge(df, "day 2")
+    assert [r.copies for r in ledger.read().collect()] == [2] and [r.copies for r in again.read().collect()] == [4] and again.buckets == 16
