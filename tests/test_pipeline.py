@@ -258,7 +258,7 @@ def test_late_rows_rematch_their_months(spark, tmp_path):
     spark.createDataFrame([(1, 7, t, 5, "debit", "x", "hdfc")], ROW).write.parquet(str(tmp_path / "bank"))
     late = spark.read.parquet(str(tmp_path / "bank"))
     capture.rematch(str(tmp_path / "app"), str(tmp_path / "bank"), str(tmp_path / "m"))(late, 0)
-    assert [(r.app_id, r.bank_id, str(r.month)) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [(1, 7, "2025-03-01")]
+    assert [(r.app_id, r.bank_id, str(r.month)) for r in spark.read.parquet(str(tmp_path / "m")).collect()] == [(1, 7, "2025-03")]
     memo = spark.createDataFrame([(1, "m", 5, "debit", t, "ravi.shop@pay", "Someone"), (1, "n", 5, "debit", t, None, "Ravi Kumar"), (1, "o", 5, "debit", t, "pay@ravi", "Ravi")], "book_id long, id string, amount_paise long, direction string, ts timestamp_ntz, vpa string, payee string")
     rows = spark.createDataFrame([(1, "r", 5, "debit", t + timedelta(days=3), "UPI ravi shop pay"), (1, "s", 5, "debit", t + timedelta(days=4), "ravi shop pay")], "book_id long, id string, amount_paise long, direction string, ts timestamp_ntz, narration string")
     assert {(r.memo_id, r.row_id) for r in match.memo_candidates(memo, rows).collect()} == {("m", "r"), ("n", "r"), ("o", "r")}
