@@ -23,14 +23,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.segments import components, edit_join, pairs_within, segment_join
-from ledgerloom.session import forget, stored
+from ledgerloom.session import forget, release, stored
 
 #: Given names and their short forms (default of ``nicknames``). A name without short forms is a name of its own.
 NICKNAMES = {
@@ -252,7 +252,7 @@ def _readings(parsed: DataFrame, nicknames: DataFrame, used: list[DataFrame]) ->
     head = F.expr("if(at > 0, substring(form, 1, at), substring(form, length(form) + at + 1))")
     tail = F.expr("if(at > 0, substring(form, at + 1), substring(form, 1, length(form) + at))")
     known = whole.where("rare and size(r) > 0").select(F.col("book_id").alias("_b"), "s", "stem").distinct()
-    cut = cuts.select("book_id", "form", head.alias("s"), tail.alias("w")).join(known, "s").where(F.col("book_id").eqNullSafe(F.col("_b"))).drop("_b")
+    cut = cuts.select("book_id", "form", head.alias("s"), tail.alias("w")).hint("merge").join(known, "s").where(F.col("book_id").eqNullSafe(F.col("_b"))).drop("_b")
     cut = cut.join(weighed, "w", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("given", F.coalesce("given", F.lit("")))
     cut = cut.select("book_id", "form", "s", "stem", F.array(F.struct(F.lit(0).alias("pos"), "w", "n", "given", coded.alias("coded"))).alias("r"), F.lit(True).alias("rare"))
     out = whole.unionByName(cut)
@@ -265,6 +265,13 @@ def _readings(parsed: DataFrame, nicknames: DataFrame, used: list[DataFrame]) ->
     return out.select("book_id", "form", "s", "stem", F.array_join(F.col("r.coded"), " ").alias("rest"), letters.alias("letters"), "rare", initials.alias("initials"))
 
 
+def _part(df: DataFrame, label: str) -> DataFrame:
+    """``df`` stored as a query of its own: what the driver holds of a query grows as its plan times its exchanges, and is let go after each part."""
+    out = stored(df, label)
+    release(df.sparkSession)
+    return out
+
+
 def entities(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     """book_id, name, entity, n_links for each different name of a book; entity is null where nothing could be read.
 
@@ -273,11 +280,11 @@ def entities(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     every = names.select("book_id", "name").where("name is not null and name <> ''").distinct()
     parsed = stored(forms(every).withColumn("form", F.array_join("words", " ")), "forms")
     used: list[DataFrame] = []
-    read = stored(_readings(parsed.where("form <> ''"), default_nicknames(names) if nicknames is None else nicknames, used), "readings")
+    read = _part(_readings(parsed.where("form <> ''"), default_nicknames(names) if nicknames is None else nicknames, used), "readings")
     forget(*used)
     node = lambda form: F.concat_ws("\u001f", F.coalesce(F.col("book_id").cast("string"), F.lit("\u0000")), F.col(form))
 
-    stems = edit_join(read.where("rare").select("book_id", "s"), ["book_id"], "s", swaps=True)
+    stems = _part(edit_join(read.where("rare").select("book_id", "s"), ["book_id"], "s", swaps=True), "stems")
     placed = read.withColumn("node", node("form"))
     side = lambda p: placed.select(*(F.col(c).alias(p + c) for c in ("book_id", "node", "s", "stem", "rest", "letters", "rare", "initials")), F.explode("letters").alias("letter"))
     a, b = (side(p).withColumnRenamed("letter", f"{p}letter") for p in ("a_", "b_"))
@@ -292,24 +299,26 @@ def entities(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     other = widened.join(b.where("b_rare"), met & (F.col("_t") == F.col("b_s"))).where(once & (F.col("a_node") != F.col("b_node"))).select(*cols)
     # whole forms, their words in order of the alphabet, for names whose words are all common or the rarest of which is misspelt
     sheets = placed.where("form like '% %' and not initials").groupBy("book_id", "node").agg(F.array_sort(F.collect_set("stem")).alias("ws")).where("size(ws) > 1")
-    sheets = sheets.select("book_id", "node", F.array_join(F.transform("ws", lambda x: F.substring_index(x, ":", 1)), "").alias("s"), F.array_join("ws", " ").alias("rest"))
+    sheets = stored(sheets.select("book_id", "node", F.array_join(F.transform("ws", lambda x: F.substring_index(x, ":", 1)), "").alias("s"), F.array_join("ws", " ").alias("rest")), "sheets")
     sheet = lambda p: sheets.select(F.col("book_id").alias("_b"), F.col("s").alias(f"key_{p}"), F.col("node").alias(f"{p}_node"), F.lit("").alias(f"{p}_stem"), F.col("rest").alias(f"{p}_rest"))
-    typed = edit_join(sheets, ["book_id"], "s")
+    typed = near_sheets = stored(edit_join(sheets, ["book_id"], "s"), "typed")
     for p in "ab":
         typed = typed.join(sheet(p), f"key_{p}").where(F.col("book_id").eqNullSafe(F.col("_b"))).drop("_b")
-    other = other.unionByName(typed.select(*cols))
-    fits = own.unionByName(other).withColumn("code", _fit_column("a_stem", "a_rest", "b_stem", "b_rest")).where("code > 0")
-    fits = fits.select("a_node", "b_node", F.expr("code div 4").cast("int").alias("cost"), (F.col("code") % 4 - 1).alias("way"))
+    fitted = lambda pairs: pairs.withColumn("code", _fit_column("a_stem", "a_rest", "b_stem", "b_rest")).where("code > 0").select("a_node", "b_node", F.expr("code div 4").cast("int").alias("cost"), (F.col("code") % 4 - 1).alias("way"))
+    parts = [_part(fitted(x), "fits") for x in (own, other, typed.select(*cols))]
+    forget(stems, sheets, near_sheets)
 
     # forms of one word against all letters of the other forms of the book
-    glued = parsed.where("form <> ''").select("book_id", "form", F.size("words").alias("n"), F.explode("glued").alias("s")).distinct()
+    glued = stored(parsed.where("form <> ''").select("book_id", "form", F.size("words").alias("n"), F.explode("glued").alias("s")).distinct(), "glued")
     single = glued.where("n = 1 and length(s) >= 6").select("book_id", "s").distinct()
     close = segment_join(glued.where("n > 1").select("book_id", "s").distinct(), single, ["book_id"])
     equal = single.select("book_id", F.col("s").alias("a"), F.col("s").alias("b"), F.lit(0).alias("d"))
     owner = glued.where("n > 1").select(F.col("book_id").alias("_b"), F.col("s").alias("a"), F.col("form").alias("_f"))
     whole = close.unionByName(equal).join(owner, "a").where(F.col("book_id").eqNullSafe(F.col("_b")))
     whole = whole.select(node("b").alias("a_node"), node("_f").alias("b_node"), F.col("d").cast("int").alias("cost"), F.lit(1).alias("way"))
-    links = stored(fits.unionByName(whole).where("a_node <> b_node"), "links")
+    parts.append(_part(whole, "whole"))
+    links = stored(reduce(DataFrame.unionByName, parts).where("a_node <> b_node"), "links")
+    forget(glued, *parts)
 
     # the same words spelt otherwise are one entity; a shortened form joins the one entity that fits best
     solid = components(links.where("way = 0").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
@@ -321,12 +330,14 @@ def entities(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     ranked = short.join(ends, "full", "left").withColumn("rank", F.struct(F.coalesce("last", F.lit(1)).alias("open"), F.col("cost").alias("cost")))
     best = ranked.groupBy("short").agg(F.min("rank").alias("best"))
     chosen = ranked.join(best, "short").where("rank = best").groupBy("short").agg(F.min("full").alias("full"), F.count("*").alias("n")).where("n = 1")
-    joined = components(chosen.select(F.col("short").alias("a"), F.col("full").alias("b")))
+    chosen = stored(chosen.select(F.col("short").alias("a"), F.col("full").alias("b")), "chosen")
+    release(names.sparkSession)
+    joined = components(chosen)
 
     out = parsed.select("book_id", "name", F.when(F.col("form") != "", node("form")).alias("node"))
     out = out.join(solid, "node", "left").withColumn("node", F.coalesce("label", "node")).drop("label")
     out = stored(out.join(joined, "node", "left").select("book_id", "name", F.coalesce("label", "node").alias("entity")), "entities")
-    forget(parsed, read, links, solid, short, joined)
+    forget(parsed, read, links, solid, short, chosen, joined)
     sizes = out.where("entity is not null").groupBy("entity").agg(F.count("*").alias("_n"))
     return out.join(sizes, "entity", "left").select("book_id", "name", "entity", (F.coalesce("_n", F.lit(1)) - 1).alias("n_links"))
 

@@ -45,7 +45,8 @@ def segment_join(index: DataFrame, probe: DataFrame, group: list[str], both_ways
     hits = hits.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
     others = [F.col(c).alias(f"_h{j}") for j, c in enumerate(group)]
     hits = hits.select("g", "l", "i", F.expr("substring(s, at + 1, w)").alias("seg"), *others, F.col("s").alias("b"))
-    pairs = pieces.join(hits, ["g", "l", "i", "seg"]).where(F.col("a") != F.col("b"))
+    # both sides are many times what their size is taken for before the explodes, so neither may be broadcast by it
+    pairs = pieces.join(hits.hint("merge"), ["g", "l", "i", "seg"]).where(F.col("a") != F.col("b"))
     for j in range(len(group)):
         pairs = pairs.where(F.col(f"_g{j}").eqNullSafe(F.col(f"_h{j}")))
     pairs = pairs.select(*(F.col(f"_g{j}").alias(c) for j, c in enumerate(group)), "a", "b").distinct()

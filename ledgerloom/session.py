@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,12 @@ def forget(*tables: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished queries left in the driver: their plans, broadcasts and shuffle files stay until its garbage is collected, and meanwhile its heap grows to the limit."""
+    gc.collect()  # Python's references hold plans of the JVM
+    spark.sparkContext._jvm.System.gc()
+
+
 def here(condition: Column) -> Column:
     """A filter that stays where it stands.
 

@@ -55,6 +55,14 @@ def test_pairs_of_split_groups(spark):
     assert got.count() == 60 * 59 // 2 + 3
 
 
+def test_probes_of_the_segment_join_are_not_broadcast(spark):
+    """A row has some forty probes, which its size before the explodes doesn't tell."""
+    few = spark.range(2).select(F.lit(1).alias("book_id"), F.concat(F.lit("pelgoya"), F.col("id").cast("string")).alias("s"))
+    for pairs in (segments.edit_join(few, ["book_id"], "s"), segments.segment_join(few, few, ["book_id"])):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 SAME = [
     ["Robert Pelgoya", "R. PELGOYA", "Bob Pelgoya", "Robet Pelgoya", "Pelgoya, Robert", "ROBERTPELGOYA", "Mr Robert Pelgoya", "Pelgoya Bob"], ["Elizabeth Ghabopur", "Ghbopur Elizabeth", "LIZ GHABOPUR"], ["Balakrishna Ghabopur", "GHABOPUR BALU", "smt balakrishna ghabopur"],
     ["Nirgoshe Stationery Mart and Company", "NIRGOSHESTATIONERYMART", "Nirgoshe Sttnry Mrt", "Stationery Mart Nirgoshe", "nirgoshe stny mart & co", "Nirgoshe Sta"], ["Gopzine Agencies Limited", "GOPZINE AGCY", "Gopzine Agencis (P) Ltd"], ["Gopzine Provision Stores Limited", "gopzine prov strs", "GopzineProvisionStores"],
@@ -71,6 +79,15 @@ def test_variants_of_one_payee_link_and_others_do_not(spark):
     assert {r.n_links for r in linked.where(F.col("name") == "R. PELGOYA").collect()} == {7}
 
 
+def test_entities_are_made_in_small_queries(spark, monkeypatch):
+    """The driver holds a query's plan anew after each of its exchanges: no stored query has more than eight joins."""
+    joins, kept = {}, names.stored
+    monkeypatch.setattr(names, "stored", lambda df, label: joins.setdefault(label, []).append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or kept(df, label))
+    df = spark.createDataFrame([(7, n) for group in SAME for n in group], "book_id long, name string")
+    assert names.name_pairs(names.entities(df)).count() == sum(len(set(g)) * (len(set(g)) - 1) // 2 for g in SAME)
+    assert max(n for found in joins.values() for n in found) <= 8, joins
+
+
 def test_shared_initials_join_none_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "Kirtana Omkvoro"), (1, "Krishnan Omkvoro"), (1, "K Omkvoro"), (1, "T. Omkvoro"), (1, "Omkvoro T")], "book_id long, name string")
     assert {tuple(r) for r in names.name_pairs(names.entities(df)).collect()} == {(1, "Omkvoro T", "T. Omkvoro")}
